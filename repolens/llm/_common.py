@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to Python.  Texts may be long, so batches are kept short.
 BATCH_ROWS = 512
@@ -138,3 +139,8 @@ def batches_of(make: Callable[[], Iterator[dict]], schema: pa.Schema, rows: int
         n = len(next(iter(cols.values())))
         for at in range(0, n, rows):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name][at : at + rows], type=f.type) for f in schema], schema=schema)
+
+
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with further columns (name = type)."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in columns.items())).fields])

@@ -22,11 +22,23 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(write_store(table(spark, sf_dir, "documents"), end_id=0))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nn_descent import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_kmeans_tree, op2_token_store, op6_nn_descent)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_kmeans_tree, op2_token_store, op5_language, op7_toxicity, op6_nn_descent)}
 ORACLES: dict[str, str] = {}
