@@ -40,5 +40,17 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_kmeans_tree, op2_token_store, op5_language, op7_toxicity, op6_nn_descent)}
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import language_model
+
+    return language_model(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_kmeans_tree, op2_token_store, op5_language, op6_nn_descent, op7_toxicity, op9_language_model, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
