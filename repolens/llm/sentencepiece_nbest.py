@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import small_batches
 
 MARK = "▁"
-BEST, REMEMBERED, LONGEST = 4, 400_000, 48
+BEST, REMEMBERED, LONGEST = 4, 600_000, 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _open: dict[str, Pieces] = {}
@@ -54,6 +54,7 @@ class Pieces:
         self.bytes_of = {i: b for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
         self.piece = {self.text[i]: (i, sp.get_score(i)) for i in usual}
+        self.single = {p for p in self.piece if len(p) == 1}
         self.longest = max(map(len, self.piece))
         self.other = min((s for _, s in self.piece.values() if s > -1e8), default=0.0) - 10.0
         self.parts = not any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p[1:] or "\n" in p[:-1] for p in self.piece)
@@ -62,6 +63,9 @@ class Pieces:
         self.keys = keys[order]
         self.ids = np.array([v[0] for v in self.piece.values()], dtype=np.int64)[order]
         self.scores = np.array([v[1] for v in self.piece.values()])[order]
+        # most stretches are no piece: a table of hash prefixes, small enough to stay in cache, says so
+        self.seen = np.zeros(1 << 22, dtype=bool)
+        self.seen[self.keys >> np.uint64(42)] = True
         self.known: dict[str, tuple[float, float, bytes]] = {}
         self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -113,7 +117,7 @@ class Pieces:
             self.ranked.clear()
         plain = []
         for c in chunks:
-            if len(c) <= LONGEST and all(x in self.piece for x in c):
+            if len(c) <= LONGEST and self.single.issuperset(c):
                 plain.append(c)
             else:
                 two = self.nbest(c, 2)
@@ -138,16 +142,23 @@ class Pieces:
         for l in range(1, min(self.longest, width) + 1):
             h = h[:, : width - l + 1] * _STEP + grid[:, l - 1 :] + np.uint64(1)
             key = h ^ h >> np.uint64(32)
-            at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1).reshape(key.shape)
-            hit = (self.keys[at] == key) & (np.arange(width - l + 1)[None, :] + l <= size[:, None])
-            score[l, :, : width - l + 1] = np.where(hit, self.scores[at], -np.inf)
-            ids[l, :, : width - l + 1] = self.ids[at]
+            row, col = np.nonzero(self.seen[(key >> np.uint64(42)).astype(np.int64)] & (np.arange(l, width + 1)[None, :] <= size[:, None]))
+            at = np.minimum(np.searchsorted(self.keys, key[row, col]), len(self.keys) - 1)
+            hit = self.keys[at] == key[row, col]
+            row, col, at = row[hit], col[hit], at[hit]
+            score[l, row, col] = self.scores[at]
+            ids[l, row, col] = self.ids[at]
         for e in range(1, width + 1):
             for l in range(min(e, self.longest), 0, -1):
-                new = best[:, e - l] + score[l, :, e - l]
-                more = new > best[:, e]
-                second[:, e] = np.where(more, best[:, e], np.maximum(second[:, e], new))
-                best[more, e], back[more, e], piece[more, e] = new[more], l, ids[l, more, e - l]
+                own = score[l, :, e - l]
+                r = np.flatnonzero(own > -np.inf)
+                if not len(r):
+                    continue
+                new, old = best[r, e - l] + own[r], best[r, e]
+                more = new > old
+                second[r, e] = np.where(more, old, np.maximum(second[r, e], new))
+                r = r[more]
+                best[r, e], back[r, e], piece[r, e] = new[more], l, ids[l, r, e - l]
         rows, at = np.arange(n), size.copy()
         loss, path, steps = np.full(n, np.inf), np.zeros((n, width), dtype="<u4"), np.zeros(n, dtype=np.int64)
         while (live := at > 0).any():
