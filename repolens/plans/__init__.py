@@ -1,4 +1,9 @@
-"""Registered queries of the repository-intelligence engine and their SQL oracles."""
+"""Registered queries of the repository-intelligence engine and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import graphs, history, lookups, retrieval, sessions, texts
+
+_MODULES = (retrieval, texts, history, graphs, lookups, sessions)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

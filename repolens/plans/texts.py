@@ -1,0 +1,153 @@
+"""Text, classification and parsing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify as c
+from ..functions import text as t
+from ._register import read, registry
+
+QUERIES, ORACLES, query = registry()
+
+_FOLD = f"translate({{0}}, '{t.ACCENTED}', '{t.PLAIN}')"
+
+
+@query("fold_accents", f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents")
+def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.fold_accents(F.col("text"))).alias("folded"))
+
+
+_SPLIT = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0},'([A-Z]+)([A-Z][a-z])','\\1 \\2','g'),'([a-z0-9])([A-Z])','\\1 \\2','g'),'([A-Za-z])([0-9])','\\1 \\2','g'),'([0-9])([A-Za-z])','\\1 \\2','g')),'[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@query("split_identifier", f"SELECT p_partkey, {_SPLIT.format('p_brand')} AS brand, {_SPLIT.format(_FOLD.format('p_type'))} AS kind FROM part")
+def split_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", t.split_identifier(F.col("p_brand")).alias("brand"), t.split_identifier(F.col("p_type")).alias("kind"))
+
+
+@query("tokenize_text", f"SELECT doc_id, len(tok) AS n_tokens, tok[1] AS first_token FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower({_FOLD.format('text')}),'[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN {t.NOISE}) AS tok FROM documents)")
+def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = t.tokenize(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(tok).cast("long").alias("n_tokens"), F.get(tok, F.lit(0)).alias("first_token"))
+
+
+@query("token_estimate", "SELECT doc_id, ceil(length(text) / 4.0)::bigint AS n_tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", t.estimate_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("entropy", "SELECT doc_id, round(entropy(ch), 6) AS bits FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_extract(text, '^\\S+'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id")
+def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.regexp_extract("text", "^\\S+", 0)
+    return read(spark, sf_dir, "documents").where(F.length(word) > 0).select("doc_id", F.round(t.shannon_entropy(word), 6).alias("bits"))
+
+
+def _duck_redact() -> str:
+    s = "regexp_replace(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(-----END [A-Z ]*PRIVATE KEY-----)?', '[REDACTED:private-key]', 'g')"
+    for p, m in t.TOKEN_PATTERNS:
+        s = f"regexp_replace({s}, '{p}', '{m}', 'g')"
+    s = f"regexp_replace({s}, '([a-z][a-z0-9+.-]*://)[^/@: \\n\\[]+:[^/@ \\n\\[]+@', '\\1[REDACTED:userinfo]@', 'g')"
+    s = f"regexp_replace({s}, '(?i)\\b((?:[A-Z0-9]+_)*(?:{t.KEY_WORDS}))( ?[:=] ?)\"[^\"\\n\\[]{{8,}}\"', '\\1\\2\"[REDACTED:value]\"', 'g')"
+    return f"regexp_replace({s}, '(?i)\\b((?:[A-Z0-9]+_)*(?:{t.KEY_WORDS}))( ?[:=] ?)''[^''\\n\\[]{{8,}}''', '\\1\\2''[REDACTED:value]''', 'g')"
+
+
+@query("redact_documents", f"SELECT doc_id, md5(r) AS redacted, r <> text AS changed FROM (SELECT doc_id, text, {_duck_redact()} AS r FROM documents)")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = t.redact(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(r).alias("redacted"), (r != F.col("text")).alias("changed"))
+
+
+@query("entropy_redaction")
+def entropy_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", t.high_entropy_quotes(F.col("text")).alias("secrets")).where(F.size("secrets") > 0)
+
+
+@query("clean_query", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,'\\[[^\\]]*\\]',' ','g'),'\\\\[a-zA-Z]',' ','g'),'[\\\\^$.|?*+(){}]',' ','g'),'\\s+',' ','g')) AS cleaned FROM pages")
+def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", t.clean_query(F.col("url")).alias("cleaned"))
+
+
+@query("conversational_turns", "SELECT conv_id, turn, regexp_matches(lower(trim(text)), '^(thanks|thank you|ok|okay|yes|no|yep|nope|sure|great|merci|oui|non|go|continue|hello|hi)[.! ]*$') AS small_talk FROM conversations")
+def conversational_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.is_conversational(F.col("text")).alias("small_talk"))
+
+
+@query("branch_keys", f"SELECT p_partkey, substr(regexp_replace(regexp_replace({_FOLD.format('p_type')},'[^A-Za-z0-9_]+','-','g'),'^-+|-+$','','g'),1,40) || '-' || substr(sha256(p_type),1,6) AS branch_key FROM part")
+def branch_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat(t.sanitize_branch(F.col("p_type")), F.lit("-"), F.substring(F.sha2("p_type", 256), 1, 6)).alias("branch_key"))
+
+
+@query("path_identity", "SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) || '-' || substr(sha256(url), 1, 12) AS identity FROM pages")
+def path_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", t.path_identity(F.col("url")).alias("identity"))
+
+
+@query("chunk_text", f"SELECT doc_id, md5(substr(array_to_string({_SPLIT.format('source')}, ' ') || chr(10) || lang || chr(10) || substr(trim(regexp_replace(text, '(?m)^(import|from|use|#include) [^\\n]*\\n?', '', 'g')), 1, 800), 1, 1200)) AS chunk FROM documents")
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.chunk_text(F.col("source"), F.array("lang"), F.col("text"))).alias("chunk"))
+
+
+@query("headings", "SELECT page_id, list_transform(list_slice(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1), 1, 10), lambda x: trim(x)) AS headings FROM pages")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.transform(F.slice(F.regexp_extract_all("html", F.lit("<h[1-3][^>]*>([^<]*)</h[1-3]>"), F.lit(1)), 1, 10), lambda x: F.trim(x)).alias("headings"))
+
+
+def _duck_risk(path: str) -> str:
+    out = "CASE"
+    for kind in ("secret", "generated", "vendor", "infra"):
+        out += f" WHEN regexp_matches({path}, '{'|'.join(f'(?:{c.glob_to_regex(g)})' for g in c.RISK_RULES[kind])}') THEN '{kind}'"
+    return out + " END"
+
+
+_PATH = "regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 6 WHEN 0 THEN '/dist/a.js' WHEN 1 THEN '/.env' WHEN 2 THEN '/Dockerfile' WHEN 3 THEN '/vendor/x.ts' WHEN 4 THEN '/src/a.test.ts' ELSE '/src/lib.rs' END"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' paths with the ending of a source file, by id."""
+    ends = ["/dist/a.js", "/.env", "/Dockerfile", "/vendor/x.ts", "/src/a.test.ts", "/src/lib.rs"]
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.element_at(F.array(*map(F.lit, ends)), (F.col("page_id") % 6 + 1).cast("int"))).alias("path"))
+
+
+@query("risk_classify", f"SELECT page_id, {_duck_risk('path')} AS risk, CASE {_duck_risk('path')} WHEN 'secret' THEN 'severe' WHEN 'generated' THEN 'destructive' WHEN 'vendor' THEN 'destructive' WHEN 'infra' THEN 'destructive' END AS tier FROM (SELECT page_id, {_PATH} AS path FROM pages)")
+def risk_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("page_id", c.risk_kind(F.col("path")).alias("risk"), c.edit_verdict(F.col("path"), F.lit(None).cast("string")).alias("tier"))
+
+
+_EXT = "lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1))"
+
+
+@query("lang_detect", f"SELECT page_id, CASE {_EXT} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in c.LANGUAGES.items())} ELSE 'other' END AS lang, regexp_matches(path, '\\.(test|spec)\\.[a-z]+$|(^|/)__tests__/|(^|/)tests/') AS is_test FROM (SELECT page_id, {_PATH} AS path FROM pages)")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("page_id", c.language_of(F.col("path")).alias("lang"), c.is_test(F.col("path")).alias("is_test"))
+
+
+@query("external_dep", "SELECT page_id, CASE WHEN regexp_matches(s, '^[./]') THEN NULL WHEN s LIKE '@%' THEN regexp_extract(s, '^(@[^/]+/[^/]+)', 1) ELSE regexp_extract(s, '^([^/]+)', 1) END AS package FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '@' WHEN 1 THEN './' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') AS s FROM pages)")
+def external_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = F.concat(F.element_at(F.array(F.lit("@"), F.lit("./"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")), F.regexp_replace("url", "^[a-z]+://", ""))
+    return read(spark, sf_dir, "pages").select("page_id", c.external_package(spec).alias("package"))
+
+
+@query("tree_rollup", """WITH p AS (SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS l1, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 2) AS l2, url FROM pages)
+ SELECT l1, l2, count(*) AS n, min(url) AS first_url, grouping(l1, l2)::int AS depth FROM p GROUP BY ROLLUP (l1, l2)""")
+def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
+    p = read(spark, sf_dir, "pages").select(F.get(parts, F.lit(0)).alias("l1"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("l2"), "url")
+    return p.rollup("l1", "l2").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), F.grouping_id("l1", "l2").cast("int").alias("depth"))
+
+
+@query("content_search", "SELECT doc_id FROM documents WHERE contains(text, 'key = ') ORDER BY doc_id LIMIT 10")
+def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(F.contains("text", F.lit("key = "))).select("doc_id").orderBy("doc_id").limit(10)
+
+
+@query("line_snippets", "SELECT doc_id, line, CASE WHEN length(s) > 120 THEN substr(s, 1, 119) || '…' ELSE s END AS snippet FROM (SELECT doc_id, i AS line, trim(split_part(text, chr(10), i::int)) AS s FROM documents, (VALUES (1), (2), (3)) v(i)) WHERE s <> ''")
+def line_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("p", "s")).select("doc_id", (F.col("p") + 1).alias("line"), F.trim("s").alias("s"))
+    return lines.where("s <> ''").select("doc_id", "line", F.when(F.length("s") > 120, F.concat(F.substring("s", 1, 119), F.lit("…"))).otherwise(F.col("s")).alias("snippet"))
+
+
+@query("file_records", "SELECT doc_id, substr(sha1(text), 1, 12) AS h, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines, strlen(text) AS size FROM documents")
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1("text"), 1, 12).alias("h"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("size"))
