@@ -11,11 +11,12 @@ encoded as a whole, because there the library's own pre-tokeniser decides what a
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Entries after which the pre-token memory starts anew.
-CACHED = 300_000
+CACHED = 1_000_000
 #: Longer pre-tokens are not remembered.
 LONGEST = 64
 
@@ -35,34 +36,61 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.size = self.model.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.lengths = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.model.get_vocab(with_added_tokens=True).items():
+            self.lengths[i] = len(token)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words = regex.compile(PATTERN)
-        self.unusual = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
+        self.usual = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*+")
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens.  Those made of a space and letters are encoded many to a call: joined,
+        they part at the same places, and the ids' byte lengths (a character each in a byte-level
+        vocabulary) tell them apart."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        chunks = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        out: dict[str, bytes] = {}
+        for chunk, e in zip(chunks, self.model.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in chunk])
+            at = [0, *(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()]
+            data, size = ids.tobytes(), self.dtype.itemsize
+            out.update(zip(chunk, [data[size * a : size * z] for a, z in zip(at, at[1:], strict=False)], strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._whole(rest), strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``; null is the empty text."""
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and self.unusual.search(t)]
+        odd = [i for i, t in enumerate(texts) if t and not self.usual.fullmatch(t)]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         apart = set(odd)
-        if len(self.known) > CACHED:
-            self.known.clear()
         known = self.known
-        for i, t in enumerate(texts):
-            if not t or i in apart:
-                continue
-            words = self.words.findall(t)
+        rest = [(i, self.words.findall(t)) for i, t in enumerate(texts) if t and i not in apart]
+        new: dict[str, bytes] = {}
+        late = []
+        for i, words in rest:
             try:
                 out[i] = b"".join(map(known.__getitem__, words))
             except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                fresh = dict(zip(new, self._whole(new), strict=True))
-                out[i] = b"".join([known[w] if w in known else fresh[w] for w in words])
-                known.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST)
+                new.update(dict.fromkeys([w for w in words if w not in known]))
+                late.append((i, words))
+        fresh = list(new)
+        new.update(self._fresh(fresh))
+        if len(known) + len(new) > CACHED:
+            new.update({w: known[w] for _, words in late for w in words if w in known})
+            known.clear()
+        known.update(new)
+        for i, words in late:
+            out[i] = b"".join(map(known.__getitem__, words))
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            known.pop(w, None)
         return out
 
 
