@@ -39,14 +39,14 @@ def shortest_paths(e: DataFrame, start, goal, max_paths: int = 3, max_depth: int
     seen = level.select("node")
     for depth in range(1, max_depth + 1):
         step = level.join(e, level.node == e.src).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"))
-        level = step.join(seen, "node", "left_anti").select("path", "node")
+        level = step.join(seen, "node", "left_anti").select("path", "node").persist()
         found = level.where(F.col("node") == F.lit(goal))
         if found.limit(1).count():
             hits = found.orderBy("path").limit(max_paths).select("path", F.lit(depth).alias("hops"))
             return hits.select("path", "hops", F.row_number().over(Window.partitionBy("hops").orderBy("path")).alias("rank"))
         if not level.limit(1).count():
             break
-        seen = seen.union(level.select("node")).distinct()
+        seen = seen.union(level.select("node").distinct())
     return spark.createDataFrame([], f"path array<{kind}>, hops int, rank int")
 
 
@@ -58,7 +58,7 @@ def reachable(e: DataFrame, start, max_depth: int = 12) -> DataFrame:
     seen = e.sparkSession.createDataFrame([(start, 0)], f"node {kind}, hops int")
     level = seen.select("node")
     for depth in range(1, max_depth + 1):
-        level = level.join(e, level.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        level = level.join(e, level.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").persist()
         if not level.limit(1).count():
             break
         seen = seen.union(level.withColumn("hops", F.lit(depth)))
