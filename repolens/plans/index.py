@@ -54,12 +54,18 @@ def file_records(files: DataFrame, rows: DataFrame) -> DataFrame:
     return base.join(grouped, "path", "left")
 
 
-def import_edges(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(src, dst): relative imports resolved by trying endings in order; Rust ``mod`` rows name the
-    files beside or below them."""
-    imports = rows.where("kind = 'import' and name like '.%'").select("file", "name", F.monotonically_increasing_id().alias("id"))
+def import_edges(rows: DataFrame, paths: DataFrame, aliases: list[tuple[str, str, str]] = (), packages: list[tuple[str, str]] = ()) -> DataFrame:
+    """(src, dst): relative imports, then path aliases (folder, prefix, target; longest prefix first),
+    then workspace packages (name, entry), resolved by trying endings in order; Rust ``mod`` rows name
+    the files beside or below them."""
     folder = F.regexp_replace("file", "/?[^/]*$", "")
-    joined = F.concat_ws("/", F.when(folder != "", folder), F.col("name"))
+    target = F.when(F.col("name").startswith("."), F.concat_ws("/", F.when(folder != "", folder), F.col("name")))
+    for where, prefix, to in aliases:
+        target = target.when(F.col("name").startswith(prefix) & (F.col("file").startswith(f"{where}/") if where else F.lit(True)), F.concat(F.lit(f"{to}/" if to else ""), F.substring("name", len(prefix) + 1, 1 << 20)))
+    for name, entry in packages:
+        target = target.when(F.col("name") == name, F.lit(entry))
+    imports = rows.where("kind = 'import'").withColumn("joined", target).where("joined is not null").select("file", "name", "joined", F.monotonically_increasing_id().alias("id"))
+    joined = F.col("joined")
     parts = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda a, x: F.when((x == ".") | (x == ""), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
     path = F.array_join(parts, "/")
     typed = F.when(path.rlike("\\.(m|c)?jsx?$"), F.regexp_replace(path, "js(x?)$", "ts$1"))
@@ -84,11 +90,11 @@ def tests_of(files: DataFrame, edges: DataFrame) -> DataFrame:
     return by_name.union(by_import).distinct()
 
 
-def build(files: DataFrame) -> dict[str, DataFrame]:
+def build(files: DataFrame, aliases: list[tuple[str, str, str]] = (), packages: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
     """All tables of an index over (path, content, size, mtime)."""
     rows = parsed(files).persist()
     records = file_records(files, rows)
-    edges = import_edges(rows, files)
+    edges = import_edges(rows, files, aliases, packages)
     symbols = rows.where("kind not in ('import', 'call', 'field', 'heading')").select("file", "kind", "name", "line", "exported", "parent", "detail")
     key = F.concat_ws(":", "file", "line", "name")
     return {
