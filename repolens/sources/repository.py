@@ -17,7 +17,7 @@ from ..functions.classify import glob_to_regex
 from .schemas import SCHEMAS
 
 #: Folders that are never entered.
-EXCLUDED = ("node_modules", ".git", ".claude-ctx")
+EXCLUDED = ("node_modules", ".git", ".repolens")
 FILE_ROW = "path string, content binary, size long, mtime long"
 
 
