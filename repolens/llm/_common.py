@@ -58,9 +58,21 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/repolens-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stored: dict[str, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that operators have stored in this session; results that still read them
+    must have been written before."""
+    for path in _stored.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``stored`` whose rows have been read for the last time."""
     spark = df.sparkSession
