@@ -14,10 +14,14 @@ one-deletion neighbourhood is indexed too, so a difference of one element there
 even that doesn't reach H + 1 units, its empty segments are indexed.
 
 Large groups: a signature shared by more than ``GROUP`` different sets isn't paired out.  Its
-members are compared with the group's first member and with the one before them.  Sets whose
-segments are mostly of that kind (more than S less the empty ones) are then looked at again: those
-that share such a signature and are in different components after the first pass are compared.
-All others have a segment outside large groups in common with every similar set.
+members are compared with the group's first member and with the one before them.  A pair that
+shares nothing else needs more than S - e such signatures; the few sets that have so many of them are
+compared with one another after the first pass, block by block within a band, and only links that
+join components leave a task.
+
+Counting: similar sets agree in 1 + S segments at least, no more than the emptier set's e of them
+empty, so they share more than S - e signatures (the larger such room of the two).  Pairs that
+share fewer, even if all their signatures of large groups were common, are no candidates.
 
 Every candidate pair is verified on the whole sets; equal sets are one vertex.  Sets are compared
 where the pair's second set lives; the first set is sent once to each task that needs it, so a
@@ -37,6 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,8 @@ from .lm import Words
 from .shingles import shingle_hashes
 
 THRESHOLD, GROUP = (3, 4), 32
+#: Further spare segments, as a share of H + 1, so that sets may have some in large groups; sets of a block.
+SPARE, BLOCK = 0.12, 512
 _HEAD = np.dtype([("fp", "<u8"), ("size", "<u4"), ("room", "<i4"), ("band", "<u2"), ("n", "<u4")])
 
 
@@ -72,7 +79,7 @@ def cut(band: int) -> tuple[int, int, int]:
     while True:
         m = differ + 1 + spare
         e = m * math.exp(-least / m)
-        if spare >= e + 3 * math.sqrt(e) or spare > u:
+        if spare >= e + 3 * math.sqrt(e) + SPARE * (differ + 1) or spare > u:
             return differ, spare, m
         spare += 1
 
@@ -137,11 +144,13 @@ def signatures(sets: list[np.ndarray], fps: np.ndarray, n: int) -> list[tuple[in
     return [(b, b"".join(x), b"".join(y)) for b, (x, y) in found.items()]
 
 
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("band", "<i4"), ("room", "<i4"), ("n", "<i8")])
+_HOT = np.dtype([("sig", "<u8"), ("fp", "<u8"), ("room", "<i4"), ("band", "<i4")])
 
 
 def grouped(heads: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket, and (signature, fp, room, band) of its large groups."""
+    """Candidate pairs of one bucket, with the number of signatures they share and the larger room
+    of the two, and the members of its large groups."""
     wide = np.zeros((len(low), 4), dtype="<u2")
     wide[:, :3] = low
     sig, row = wide.reshape(-1).view("<u8"), np.repeat(np.arange(len(heads)), heads["n"])
@@ -152,23 +161,34 @@ def grouped(heads: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     sig, row, fp = sig[keep], row[keep], fp[keep]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.r_[first, len(sig)])
-    pairs = []
+    left, right = [], []
     for g in range(2, GROUP + 1):
         own = first[size == g]
         if len(own):
             i, j = np.triu_indices(g, 1)
-            pairs.append(np.stack([fp[(own[:, None] + i).ravel()], fp[(own[:, None] + j).ravel()]], 1))
-            lengths = np.stack([heads["size"][row[(own[:, None] + x).ravel()]].astype(np.int64) for x in (i, j)], 1)
-            pairs[-1] = pairs[-1][lengths.min(axis=1) * THRESHOLD[1] >= lengths.max(axis=1) * THRESHOLD[0]]
+            left.append((own[:, None] + i).ravel())
+            right.append((own[:, None] + j).ravel())
     large = np.flatnonzero(size > GROUP)
-    hot = np.zeros(0, dtype=[("sig", "<u8"), ("fp", "<u8"), ("room", "<i4"), ("band", "<i4")])
+    hot = np.zeros(0, dtype=_HOT)
     if len(large):
         at = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in large])
         lead = np.repeat(first[large], size[large])
-        pairs += [np.stack([fp[lead], fp[at]], 1)[at > lead], np.stack([fp[at - 1], fp[at]], 1)[at > lead + 1]]
-        hot = np.zeros(len(at), dtype=hot.dtype)
+        left += [lead[at > lead], at[at > lead + 1] - 1]
+        right += [at[at > lead], at[at > lead + 1]]
+        hot = np.zeros(len(at), dtype=_HOT)
         hot["sig"], hot["fp"], hot["room"], hot["band"] = sig[at], fp[at], heads["room"][row[at]], heads["band"][row[at]]
-    return (np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.uint64)), hot
+    if not left:
+        return np.zeros(0, dtype=_PAIR), hot
+    x, y = np.concatenate(left), np.concatenate(right)
+    lengths = np.stack([heads["size"][row[x]], heads["size"][row[y]]]).astype(np.int64)
+    fits = lengths.min(axis=0) * THRESHOLD[1] >= lengths.max(axis=0) * THRESHOLD[0]
+    x, y = x[fits], y[fits]
+    pairs = np.zeros(len(x), dtype=_PAIR)
+    pairs["a"], pairs["b"], pairs["band"] = fp[x], fp[y], heads["band"][row[x]]
+    pairs["room"] = np.maximum(heads["room"][row[x]], heads["room"][row[y]])
+    pairs, counts = np.unique(pairs, return_counts=True)
+    pairs["n"] = counts
+    return pairs, hot
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
@@ -237,59 +257,117 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([heads], pa.binary()), pa.array([low], pa.binary())], names=names)
             k = b.num_rows
             fp = np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(sizes, pa.int64()), pa.array(fp), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(sizes, pa.int64()), pa.array(fp), pa.array(range_bucket(mix64(fp.view(np.uint64)), n)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
 
     names = ["doc_id", "row_key", "n_shingles", "fp", "bucket", "heads", "low"]
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    first = stored(all_docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"))
-    rows = first.where("bucket is null").select("doc_id", "row_key", "n_shingles", "fp")
-
+    first = deal(all_docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"))
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, low = [], []
         for b in batches:
-            heads += b.column("heads").to_pylist()
-            low += b.column("low").to_pylist()
+            doc = b.column("fp").is_valid()
+            rows = pa.RecordBatch.from_arrays([b.column(c) for c in names[:4]], names=names[:4]).filter(doc)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(len(rows), t) for t in types[4:])], names=out)
+            rest = b.filter(pa.compute.invert(doc))
+            heads += rest.column("heads").to_pylist()
+            low += rest.column("low").to_pylist()
         if not heads:
             return
         pairs, hot = grouped(np.frombuffer(b"".join(heads), dtype=_HEAD), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3))
+
+        def made(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+            k = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c]).view(t.to_pandas_dtype())) if c in columns else pa.nulls(k, t) for c, t in zip(out, types, strict=True)], names=out)
+
         for at in range(0, len(pairs), 50_000):
-            p = pairs[at : at + 50_000].view(np.int64)
-            k = len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=["a", "b", "sig", "room", "band"])
+            p = pairs[at : at + 50_000]
+            yield made({"a": p["a"], "b": p["b"], "sig": p["n"], "room": p["room"], "band": p["band"]})
         for at in range(0, len(hot), 50_000):
             h = hot[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h["fp"].view(np.int64) if h["fp"].flags.c_contiguous else np.ascontiguousarray(h["fp"]).view(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(np.ascontiguousarray(h["sig"]).view(np.int64)), pa.array(h["room"]), pa.array(h["band"])], names=["a", "b", "sig", "room", "band"])
-
-    met = stored(deal(first.where("bucket is not null").select("bucket", "heads", "low")).mapInArrow(meet, "a long, b long, sig long, room int, band int"))
-    pairs = stored(met.where("b is not null").select("a", "b").distinct())
+            yield made({"a": h["fp"], "sig": h["sig"], "room": h["room"], "band": h["band"]})
+
+    out, types = [*names[:4], "a", "b", "sig", "room", "band"], [pa.int64()] * 7 + [pa.int32()] * 2
+    met = stored(first.mapInArrow(meet, "doc_id long, row_key long, n_shingles long, fp long, a long, b long, sig long, room int, band int"))
+    rows = met.where("a is null").select("doc_id", "row_key", "n_shingles", "fp")
+    hot = met.where("a is not null and b is null").select(F.col("a").alias("fp"), "sig", "room", "band")
+    often = hot.groupBy("fp", "band").agg(F.count("*").alias("hot"), F.min("room").alias("room"))
+    shared = met.where("b is not null").groupBy("a", "b", "band").agg(F.sum("sig").alias("n"), F.max("room").alias("room"))
+    for side in ("a", "b"):
+        shared = shared.join(often.select(F.col("fp").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left")
+    enough = F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) > F.col("room")
+    pairs = stored(shared.where(enough).select("a", "b").distinct())
     reps = rows.groupBy("fp").agg(F.min("row_key").alias("row_key"))
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
-    sets = _sets(all_docs, wanted)
-    found = stored(_verified(pairs, sets, n))
-    hot = met.where("b is null").select(F.col("a").alias("fp"), "sig", "room", "band")
-    poor = hot.groupBy("fp", "band").agg(F.count("*").alias("n"), F.min("room").alias("room")).where("n > room").select("fp", "band")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
+        return stored(_verified(pairs, _sets(all_docs, wanted), n))
+
+    found = verified(pairs)
+    poor = often.where("hot > room").select("fp", "band")
     labels = components(found)
-    again = hot.join(poor, ["fp", "band"]).join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("sig", "band", "fp", F.coalesce("component", "fp").alias("component"))
-    mixed = again.groupBy("sig", "band").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("sig", "band")
-    again = stored(again.join(mixed, ["sig", "band"]))
+    again = stored(poor.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "band", F.coalesce("component", "fp").alias("component")))
     if again.limit(1).count():
-        other = again.select("sig", "band", F.col("fp").alias("b"), F.col("component").alias("other"))
-        rest = again.withColumnRenamed("fp", "a").join(other, ["sig", "band"]).where("a < b and component <> other").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        found = stored(found.union(_verified(stored(rest), sets, n)))
+        sets = _sets(all_docs, again.select("fp").distinct().join(reps, "fp"))
+        found = stored(found.union(_between(again.join(sets, "fp"), n)))
     return rows, found
 
 
+def _between(poor: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) that join different components of ``poor`` (fp, band, component, elements), sets
+    of a band compared block against block.  A task gives only the links that join components which
+    its earlier links leave apart: fewer than it has components."""
+    sizes = poor.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = poor.join(F.broadcast(sizes), "band").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))  # a row a band: 90 at most
+    cells = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "fp", "component", "elements", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "i", "j"), F.lit(n)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, list] = {}
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("band", "i", "j", "own", "fp", "component", "elements")), strict=True):
+                groups.setdefault(row[:3], []).append(row[3:])
+        for (_, i, j), members in groups.items():
+            block, fp, component = (np.array([m[c] for m in members], dtype=np.int64) for c in range(3))
+            sets = [np.frombuffer(m[3], dtype="<u8") for m in members]
+            size = np.array([len(x) for x in sets])
+            _, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(members)), size)
+            both = often[col] > 1  # elements of one set only can't be common
+            row, (_, col) = row[both], np.unique(col[both], return_inverse=True)
+            x, y = (np.arange(len(members)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+            common = np.zeros((len(x), len(y)), dtype=np.float32)
+            for at in range(0, int(col.max(initial=-1)) + 1, 4_096):
+                part = (col >= at) & (col < at + 4_096)
+                m = np.zeros((len(members), 4_096), dtype=np.float32)
+                m[row[part], col[part] - at] = 1
+                common += m[x] @ m[y].T
+            similar = THRESHOLD[1] * common >= THRESHOLD[0] * (size[x][:, None] + size[y][None, :] - common)
+            a, b = np.nonzero(similar & (component[x][:, None] != component[y][None, :]))
+            root: dict[int, int] = {}
+
+            def head(c: int, root: dict[int, int] = root) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            out = []
+            for p, q in zip(x[a].tolist(), y[b].tolist(), strict=True):
+                u, v = head(int(component[p])), head(int(component[q]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    out.append((int(fp[p]), int(fp[q])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    return deal(cells).mapInArrow(run, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id long, n_shingles long, component_id long, n_links long (different texts' sets linked
-    directly with this one's) of every document."""
+    """doc_id long, n_shingles long, component_id long of every document."""
     rows, found = links(docs)
     reps = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"))
-    labels = components(found)
-    roots = labels.withColumnRenamed("v", "fp").join(reps, "fp")
+    roots = components(found).withColumnRenamed("v", "fp").join(reps, "fp")
     roots = roots.join(roots.groupBy("component").agg(F.min("rep").alias("root")), "component").select("fp", "root")
-    known = reps.join(roots, "fp", "left").join(degree, "fp", "left").select("fp", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    linked = rows.where("n_shingles > 0").join(known, "fp").select("doc_id", "n_shingles", F.col("root").alias("component_id"), "n_links")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone)
+    known = reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    linked = rows.where("n_shingles > 0").join(known, "fp").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
