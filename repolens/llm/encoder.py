@@ -11,6 +11,8 @@ encoded as a whole, because there the library's own pre-tokeniser decides what a
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -23,13 +25,16 @@ LONGEST = 64
 _open: dict[str, Encoder] = {}
 
 
+def _class(kind: str) -> str:
+    """Body of a character class: the letters (L) or numbers (N) below U+0250."""
+    return "".join(rf"\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
 class Encoder:
     """Encoder of one tokenizer file; ``encode`` maps texts to little-endian id bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -40,8 +45,10 @@ class Encoder:
         for token, i in self.model.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(token)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words = regex.compile(PATTERN)
-        self.usual = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*+")
+        # the tokenizer's own pattern, for the characters that ``usual`` lets through
+        letters, digits = _class("L"), _class("N")
+        self.words = re.compile(rf" ?[{letters}]+| ?[{digits}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+")
+        self.usual = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u20ac]*")
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -73,24 +80,17 @@ class Encoder:
         apart = set(odd)
         known = self.known
         rest = [(i, self.words.findall(t)) for i, t in enumerate(texts) if t and i not in apart]
-        new: dict[str, bytes] = {}
-        late = []
-        for i, words in rest:
-            try:
-                out[i] = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                new.update(dict.fromkeys([w for w in words if w not in known]))
-                late.append((i, words))
-        fresh = list(new)
-        new.update(self._fresh(fresh))
-        if len(known) + len(new) > CACHED:
-            new.update({w: known[w] for _, words in late for w in words if w in known})
+        distinct = set().union(*(words for _, words in rest))
+        fresh = list(distinct.difference(known))
+        if len(known) + len(fresh) > CACHED:
             known.clear()
-        known.update(new)
-        for i, words in late:
+            fresh = list(distinct)
+        known.update(self._fresh(fresh))
+        for i, words in rest:
             out[i] = b"".join(map(known.__getitem__, words))
-        for w in [w for w in fresh if len(w) > LONGEST]:
-            known.pop(w, None)
+        for w in fresh:
+            if len(w) > LONGEST:
+                del known[w]
         return out
 
 

@@ -97,18 +97,21 @@ class EliasFano:
         return cls(n, l, data[16 : 16 + a], data[16 + a : 16 + a + b], data[16 + a + b :])
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, ``Encoder.dtype`` little-endian."""
+def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[int]) -> DataFrame:
+    """(doc_id, bucket, ids) for (doc_id, text): each whole text's ids and the end id,
+    ``Encoder.dtype`` little-endian, and the doc_id's range between ``cuts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for b in batches:
-            ids = enc.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, *range(2, b.num_columns))), pa.array([x + end for x in ids], type=pa.binary())], names=[*(b.schema.names[k] for k in (0, *range(2, b.num_columns))), "ids"])
+            ids = enc.encode(b.column("text").to_pylist())
+            least = np.iinfo(np.int64).min
+            keys = np.array([least if k is None else k for k in b.column("doc_id").to_pylist()], dtype=np.int64)
+            shard = np.searchsorted(np.array(cuts, dtype=np.int64), keys, side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shard), pa.array([x + end for x in ids], type=pa.binary())], names=["doc_id", "bucket", "ids"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, f"{kept}, ids binary")
+    return docs.mapInArrow(run, "doc_id long, bucket int, ids binary")
 
 
 def _bounds(docs: DataFrame, n: int) -> list[int]:
@@ -127,9 +130,8 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = 0) -> Da
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = _bounds(own.select("doc_id"), partitions(spark))
-    shard = F.lit(0) if not cuts else F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col("doc_id"))), F.lit(0))
     width = encoder(path).dtype.itemsize
-    ids = encoded(own, path, end_id).withColumn("bucket", shard.cast("int"))
+    ids = encoded(own, path, end_id, cuts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, within, shard_no, keys, parts, held = 0, 0, 0, [], [], 0
