@@ -32,6 +32,9 @@ def bm25f(df: DataFrame, key: str, fields: list[tuple[Column, float]], terms: li
     ``path`` (four letters or more) counts 1.  The query stays in the expressions: one scan gives
     each row's hits, one aggregation the document frequencies (a row a term), and no row of the
     collection is shuffled before only matching rows are left."""
+    # the fields are columns of their own first, so that each is computed once a row
+    df = df.select(F.col(key).alias("key"), *[f.alias(f"f{i}") for i, (f, _) in enumerate(fields)], (path if path is not None else F.lit(None).cast("string")).alias("path"))
+    fields, path = [(F.col(f"f{i}"), w) for i, (_, w) in enumerate(fields)], None if path is None else F.col("path")
     length = reduce(lambda a, b: a + b, [F.size(f).cast("double") * w for f, w in fields])
     tf = []
     for t, _ in terms:
@@ -39,7 +42,8 @@ def bm25f(df: DataFrame, key: str, fields: list[tuple[Column, float]], terms: li
         if path is not None and len(t) >= 4:
             own = F.when(own == 0, F.when(F.lower(path).contains(t), 1.0).otherwise(0.0)).otherwise(own)
         tf.append(own)
-    rows = df.select(F.col(key).alias("key"), length.alias("len"), F.array(*tf).alias("tf"))
+    # statistics and scores read the rows' few numbers from the cache: texts are tokenised once
+    rows = df.select("key", length.alias("len"), F.array(*tf).alias("tf")).persist()
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
     n = F.col("n").cast("double")
     norm = K1 * (1 - B + B * F.col("len") / F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0))
@@ -56,6 +60,7 @@ def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def relative(df: DataFrame, score: str) -> DataFrame:
     """``relative``: 100 times the score over the largest one."""
+    df = df.persist()  # matching rows only
     best = df.agg(F.max(score).alias("_best"))
     return df.crossJoin(F.broadcast(best)).withColumn("relative", F.col(score) * 100 / F.col("_best")).drop("_best")
 
