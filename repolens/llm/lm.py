@@ -92,6 +92,35 @@ class Words:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+class Slots:
+    """Words with what the model knows of them, remembered up to a bound: a word is looked up in
+    one dictionary, and the rest are gathers from small arrays."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.words = model, Words()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.hash, self.frequent, self.exact, self.count = np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0)
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The slots of each text's words."""
+        new = set().union(*texts).difference(self.slot)
+        if len(self.slot) + len(new) > REMEMBERED:
+            self._clear()
+            new = set().union(*texts)
+        if new:
+            words = sorted(new)
+            h = np.array([self.words.digest(w) for w in words], dtype=np.uint64)
+            hit, exact = self.model.known(h)
+            count = exact.astype(np.float64)
+            count[~hit] = count_of(self.model.filter.levels(h[~hit], range_bucket(mix64(h[~hit]), self.model.parts)))
+            self.slot.update(zip(words, range(len(self.hash), len(self.hash) + len(words)), strict=True))
+            self.hash, self.frequent, self.exact, self.count = np.r_[self.hash, h], np.r_[self.frequent, hit], np.r_[self.exact, exact], np.r_[self.count, count]
+        return [np.fromiter(map(self.slot.__getitem__, t), np.int64, len(t)) for t in texts]
+
+
 class Filter:
     """Log-frequency Bloom filter cut at hash ranges: part i holds bits first[i] .. first[i + 1]."""
 
@@ -220,26 +249,18 @@ class Model:
         hit = self.frequent[at] == h
         return hit, np.where(hit, self.counts[at], 0)
 
-    def counted(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(c(w), c(h), c(hw)) of each token and the token before it."""
-        words, back = np.unique(np.concatenate([h, before]), return_inverse=True)
-        hit, c = self.known(words)
-        c = c.astype(np.float64)
-        rare = words[~hit]
-        c[~hit] = count_of(self.filter.levels(rare, range_bucket(mix64(rare), self.parts)))
-        pairs, again = np.unique(pair_hash(before, h), return_inverse=True)
-        both = count_of(self.filter.levels(low48(pairs), range_bucket(pairs, self.parts)))[again]
-        return c[back[: len(h)]], c[back[len(h) :]], np.minimum(both, c[back[len(h) :]])
-
-    def log_probabilities(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the token before it."""
-        cw, ch, both = self.counted(h, before)
+    def shared(self, h: np.ndarray, before: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        """c(hw) of each token after the token before it, c(h) at most."""
+        pairs = pair_hash(before, h)
+        return np.minimum(count_of(self.filter.levels(low48(pairs), range_bucket(pairs, self.parts))), ch)
+
+    def log_probabilities(self, cw: np.ndarray, ch: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 P of tokens by c(w), c(h) and c(hw)."""
         l = self.weights[level(ch)] * (ch > 0)
         return np.log10((1 - l) * (cw + 1) / (self.tokens + self.types + 1) + l * both / np.maximum(ch, 1))
 
-    def tune(self, h: np.ndarray, before: np.ndarray) -> None:
+    def tune(self, cw: np.ndarray, ch: np.ndarray, both: np.ndarray) -> None:
         """Weights by level of the context, each training occurrence left out of its counts."""
-        cw, ch, both = self.counted(h, before)
         at = level(ch)
         p1 = np.maximum(cw, 1) / (self.tokens + self.types + 1)
         p2 = np.maximum(both - 1, 0) / np.maximum(ch - 1, 1)
@@ -282,17 +303,14 @@ def tune(model: Model, docs: DataFrame) -> None:
     """Fit the interpolation weights on a bounded sample of the training texts."""
     share = min(1.0, TUNED * 400 / max(1, model.tokens))  # at about 400 tokens a text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([words.hashes(word_bytes(t)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["h"])
-
-    got = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").limit(TUNED).mapInArrow(run, "h binary").collect()
-    end = np.uint64(Words().digest(END))
-    texts = [np.append(np.frombuffer(bytes(r.h), np.uint64), end) for r in got]
+    texts = [r.text for r in docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").limit(TUNED).collect()]
     if texts:
-        h = np.concatenate(texts)
-        model.tune(h, np.r_[end, h[:-1]])
+        slots = Slots(model)
+        own = slots.of([[*word_bytes(t), END] for t in texts] + [[END]])
+        at = np.concatenate(own[:-1])
+        before = np.r_[own[-1], at[:-1]]
+        ch = slots.count[before]
+        model.tune(slots.count[at], ch, model.shared(slots.hash[at], slots.hash[before], ch))
 
 
 _ASK = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<u4")])
@@ -312,27 +330,24 @@ def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
     kept_schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, Words()
-        end = np.uint64(words.digest(END))
+        model = shared.value
+        slots = Slots(model)
         for b in batches:
             texts, key = b.column("text").to_pylist(), b.column("row_key").to_numpy()
             n_tokens, n_known, base, total, asks = [], [], [], [], []
             for s in range(0, len(texts), 64):
-                own = [np.append(words.hashes(word_bytes(t)), end) for t in texts[s : s + 64]]
+                *own, end = slots.of([[*word_bytes(t), END] for t in texts[s : s + 64]] + [[END]])
                 sizes = np.array([len(x) for x in own])
-                h = np.concatenate(own)
-                doc = np.repeat(np.arange(len(own)), sizes)
-                lp = model.log_probabilities(h, np.r_[end, h[:-1]])
-                order = np.lexsort((h, doc))
-                first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-                uh, ud, un = h[order][first], doc[order][first], np.diff(np.r_[first, len(h)])
-                hit, c = model.known(uh)
+                at, doc = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+                before = np.r_[end, at[:-1]]  # each text ends with the end token, which the next one starts after
+                h, ch, hit, exact = slots.hash[at], slots.count[before], slots.frequent[at], slots.exact[at]
+                lp = model.log_probabilities(slots.count[at], ch, model.shared(h, slots.hash[before], ch))
                 n_tokens += sizes.tolist()
-                n_known += np.bincount(ud, (un * (hit & (c > 0))), len(own)).astype(np.int64).tolist()
-                base += np.bincount(ud, un * np.log10(c + 1.0), len(own)).tolist()
+                n_known += np.bincount(doc, exact > 0, len(own)).astype(np.int64).tolist()
+                base += np.bincount(doc, np.log10(exact + 1.0), len(own)).tolist()
                 total += np.bincount(doc, lp, len(own)).tolist()
                 ask = np.zeros(int((~hit).sum()), dtype=_ASK)
-                ask["h"], ask["doc"], ask["n"] = uh[~hit], key[s + ud[~hit]], un[~hit]
+                ask["h"], ask["doc"], ask["n"] = h[~hit], key[s + doc[~hit]], 1
                 asks.append(ask)
             rest = [b.column(c) for c in [*keep, "row_key", "held_out"]]
             k = b.num_rows
