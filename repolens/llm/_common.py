@@ -62,6 +62,17 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may be broadcast after its rows were counted.
+BROADCAST = 32 << 20
+
+
+def lookup_table(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``df`` as a written table, to be joined with whole texts: with a broadcast hint if its counted
+    rows stay within ``BROADCAST`` bytes, so that texts aren't shuffled; else without one."""
+    table = stored(df)
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST else table
+
+
 _stored: dict[str, list[str]] = {}
 
 

@@ -45,7 +45,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, deal, mix64, partitions, range_bucket, small_batches, stored, word_bytes
+from ._common import deal, lookup_table, mix64, partitions, range_bucket, small_batches, stored, word_bytes
 from .components import components
 from .lm import Words
 from .shingles import shingle_hashes
@@ -231,7 +231,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.unique(shingle_hashes(words.hashes(word_bytes(t)))).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], names=["fp", "elements"])
 
-    return stored(docs.join(wanted, "row_key").select("fp", "text").mapInArrow(run, "fp long, elements binary").dropDuplicates(["fp"]))
+    return stored(docs.join(lookup_table(wanted), "row_key").select("fp", "text").mapInArrow(run, "fp long, elements binary").dropDuplicates(["fp"]))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
