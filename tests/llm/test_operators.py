@@ -116,6 +116,21 @@ def test_substring_passages(spark, corpus):
     assert passages(documents(spark, [])).collect() == []
 
 
+def test_passage_of_frequent_lines(spark):
+    from repolens.llm.substring_dedup import passages
+
+    rng = random.Random(21)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(9)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(lines) for _ in range(30))) for k in range(600)]
+    block = rng.sample(lines, 7)
+    for k in (411, 502, 577):
+        text = rows[k][1].split()
+        rows[k] = k, " ".join(text[:90] + " ".join(block).split() + text[90:])
+    got = {r.doc_id: r for r in passages(documents(spark, rows)).collect() if r.n_words >= 60}
+    assert {k: (r.source_doc_id, r.duplicate) for k, r in got.items()} == {411: (411, False), 502: (411, True), 577: (411, True)}
+    assert all(abs(r.start_word - 90) <= 6 and r.n_words >= 63 for r in got.values())
+
+
 def test_compact_windows_are_the_cartesian_nodes():
     from repolens.llm import substring_dedup as s
 
