@@ -1,13 +1,12 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-Terms: words without the punctuation around them, and word beginnings of 4 and 5 characters.  From
-a bounded sample of labelled rows (``EXAMPLES`` of each label at most, chosen by a hash of the id)
-the terms that tell the labels apart are kept (chi-square of at least ``LEAST``, at most
-``TERMS``), so that a cosine compares what matters and most clean texts have no term at all.
-
-Search is exact: postings of each term are cut at blocks of ``BLOCK`` examples, each with its
-largest weight; a block's bound is the sum of its terms' largest weights, blocks are opened in
-falling order of bounds, and the search ends when the k-th best cosine is above the next bound.
+Terms: words without the punctuation around them, and word beginnings of 4 and 5 characters.  The
+examples are a bounded sample of labelled rows (``EXAMPLES`` of each label at most, chosen by a hash
+of the id) with their whole TF-IDF vectors: no term is left out.  A term's weight is multiplied by
+1 + its chi-square against the label, so that terms that tell labels apart count most.
+
+Search is exact and exhaustive: the ``DENSE`` terms that most examples have are one matrix, by which
+texts are multiplied in batches, and the others' postings are added to its cosines.
 A text's vote is the weighted mean of its neighbours' labels (weights cosine / (1.05 - cosine)).
 Votes become probabilities by logistic calibration on the examples' own leave-one-out votes,
 weighted back to the labels' true shares; texts without a term get the rate of such examples.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc_bucket, small_batches, widened, word_bytes
 
-EXAMPLES, TERMS, LEAST, K, BLOCK = 2_000, 4_096, 30.0, 15, 64
+EXAMPLES, K, DENSE, BATCH = 2_000, 15, 1_024, 512
 _EDGE = b".,;:!?\"'()[]{}<>|*-_"
 
 
@@ -54,7 +53,7 @@ def terms(text: str | None, memory: dict) -> Counter:
 
 
 class Index:
-    """Block-max inverted index of the examples."""
+    """The examples' vectors by term: a matrix of common terms, postings of the others."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> None:
         """examples: (id, label, term numbers, counts), in ascending id order; share: how many
@@ -63,47 +62,57 @@ class Index:
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples], dtype=np.float64)
         vectors = [self.weights(at, n) for _, _, at, n in examples]
-        order: list[list] = [[] for _ in terms]
-        for e, (row, w) in enumerate(zip(examples, vectors, strict=True)):
-            for t, x in zip(row[2].tolist(), w.tolist(), strict=True):
-                order[t].append((e, x))
-        self.blocks = -(-len(examples) // BLOCK)
-        self.post = [(np.array([p[0] for p in o], dtype=np.int64), np.array([p[1] for p in o])) for o in order]
-        self.most = np.zeros((len(terms), self.blocks))
-        self.cut = np.zeros((len(terms), self.blocks + 1), dtype=np.int64)
-        for t, (at, w) in enumerate(self.post):
-            np.maximum.at(self.most[t], at // BLOCK, w)
-            self.cut[t] = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
+        at = np.concatenate([np.asarray(e[2], dtype=np.int64) for e in examples] or [np.empty(0, np.int64)])
+        row = np.repeat(np.arange(len(examples)), [len(v) for v in vectors])
+        order = np.argsort(at, kind="stable")
+        self.at = np.searchsorted(at[order], np.arange(len(terms) + 1))
+        self.row, self.weight = row[order].astype(np.int32), np.concatenate([*vectors, np.empty(0)])[order]
+        common = np.argsort(-np.diff(self.at), kind="stable")[:DENSE]
+        self.slot = np.full(len(terms), -1, dtype=np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.matrix: np.ndarray | None = None
         self._calibrate(examples, vectors, share)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "matrix": None}  # made again where it is used
+
     def weights(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.idf[at]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def nearest(self, at: np.ndarray, q: np.ndarray, but: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    def _postings(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the terms' postings, and how many each has."""
+        n = self.at[t + 1] - self.at[t]
+        return np.repeat(self.at[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
+
+    def cosines(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of each text (term numbers, weights) with each example."""
+        if self.matrix is None:
+            common = np.flatnonzero(self.slot >= 0)
+            p, n = self._postings(common)
+            self.matrix = np.zeros((len(common), len(self.ids)))
+            self.matrix[np.repeat(self.slot[common], n), self.row[p]] = self.weight[p]
+        q = np.zeros((len(texts), len(self.matrix)))
+        for i, (at, w) in enumerate(texts):
+            s = self.slot[at]
+            q[i, s[s >= 0]] = w[s >= 0]
+        out = q @ self.matrix
+        for i, (at, w) in enumerate(texts):
+            rest = self.slot[at] < 0
+            p, n = self._postings(at[rest])
+            out[i] += np.bincount(self.row[p], np.repeat(w[rest], n) * self.weight[p], len(self.ids))
+        return np.round(out, 12)  # equal examples get equal cosines
+
+    def top(self, cos: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k largest positive cosines."""
+        least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+        hit = np.flatnonzero((cos >= least) & (cos > 0))
+        best = hit[np.lexsort((hit, -cos[hit]))[:k]]
+        return best, cos[best]
+
+    def nearest(self, at: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a positive cosine, exactly."""
-        bound = q @ self.most[at]
-        best, kth, found_at, found = np.argsort(-bound, kind="stable"), 0.0, [], []
-        for b in best:
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), q.tolist(), strict=True):
-                s, e = self.cut[t, b], self.cut[t, b + 1]
-                if s < e:
-                    score[self.post[t][0][s:e] - b * BLOCK] += x * self.post[t][1][s:e]
-            if 0 <= but - b * BLOCK < BLOCK:
-                score[but - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            found_at.append(hit + b * BLOCK)
-            found.append(score[hit])
-            if sum(map(len, found)) >= k:
-                kth = np.partition(np.concatenate(found), -k)[-k]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        ids, cos = np.concatenate(found_at), np.concatenate(found)
-        top = np.lexsort((ids, -cos))[:k]
-        return ids[top], cos[top]
+        return self.top(self.cosines([(at, q)])[0], k)
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         w = cos / (1.05 - np.minimum(cos, 1.0))
@@ -112,10 +121,13 @@ class Index:
     def _calibrate(self, examples: list, vectors: list, share: tuple[float, float]) -> None:
         weight = np.where(self.labels == 1, share[1], share[0])
         votes = np.full(len(examples), np.nan)
-        for i, (e, v) in enumerate(zip(examples, vectors, strict=True)):
-            near, cos = self.nearest(e[2], v, but=i) if len(v) else (np.empty(0, np.int64), np.empty(0))
-            if len(near):
-                votes[i] = self.vote(near, cos)
+        for s in range(0, len(examples), BATCH):
+            part = [(e[2], v) for e, v in zip(examples[s : s + BATCH], vectors[s : s + BATCH], strict=True)]
+            for i, cos in enumerate(self.cosines(part), s):
+                cos[i] = 0
+                near, best = self.top(cos)
+                if len(near):
+                    votes[i] = self.vote(near, best)
         bare = np.isnan(votes)
         total = weight.sum()
         rate = float((weight * self.labels).sum() / total) if total else 0.0
@@ -133,16 +145,22 @@ class Index:
                 a, b = a + float(np.clip(d[0], -3, 3)), b + float(np.clip(d[1], -3, 3))
         self.a, self.b = a, b
 
-    def score(self, found: Counter) -> tuple[float, list[int]]:
-        """(probability, ids of the nearest examples) for a text's terms."""
-        own = sorted((self.number[t], n) for t, n in found.items() if t in self.number)
-        if not own:
-            return self.base, []
-        at, n = np.array([o[0] for o in own]), np.array([o[1] for o in own], dtype=np.float64)
-        near, cos = self.nearest(at, self.weights(at, n))
-        if not len(near):
-            return self.base, []
-        return float(1 / (1 + np.exp(-(self.a * (self.vote(near, cos) - 0.5) + self.b)))), self.ids[near[:3]].tolist()
+    def score(self, found: list[Counter]) -> list[tuple[float, list[int]]]:
+        """(probability, ids of the nearest examples) for each text's terms."""
+        out = []
+        for s in range(0, len(found), BATCH):
+            part = []
+            for text in found[s : s + BATCH]:
+                own = sorted((self.number[t], n) for t, n in text.items() if t in self.number)
+                at, n = np.array([o[0] for o in own], dtype=np.int64), np.array([o[1] for o in own], dtype=np.float64)
+                part.append((at, self.weights(at, n)))
+            for cos in self.cosines(part):
+                near, best = self.top(cos)
+                if len(near):
+                    out.append((float(1 / (1 + np.exp(-(self.a * (self.vote(near, best) - 0.5) + self.b)))), self.ids[near[:3]].tolist()))
+                else:
+                    out.append((self.base, []))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, examples: int = EXAMPLES) -> Index | None:
@@ -160,38 +178,31 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, examples: int = EXAMPLES) -
     ids = spark.createDataFrame(rows, "doc_id long, toxic int")
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen = _Terms(), {}
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                for t in terms(text, memory):
-                    seen.setdefault(t, [0, 0])[y] += 1
-        keys = list(seen)
-        for s in range(0, len(keys), 50_000):
-            k = keys[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([seen[t][0] for t in k], pa.int64()), pa.array([seen[t][1] for t in k], pa.int64())], names=["term", "n0", "n1"])
-
-    n0, n1 = (sum(y == v for _, y in rows) for v in (0, 1))
-    a, b, n = F.col("n1").cast("double"), F.col("n0").cast("double"), float(n0 + n1)
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.greatest(F.lit(1e-9), (a + b) * (n - a - b) * n0 * n1)
-    best = sample.mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3").withColumn("chi", chi).where(F.col("chi") >= LEAST).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    names = [bytes(r.term) for r in best]
-    idf = np.array([np.log(1 + n / (r.n0 + r.n1)) for r in best])
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, number = _Terms(), shared.value
+        memory = _Terms()
         for b in batches:
-            at, count = [], []
-            for text in b.column("text").to_pylist():
-                own = sorted((number[t], c) for t, c in terms(text, memory).items() if t in number)
-                at.append([x[0] for x in own])
-                count.append([x[1] for x in own])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at", "n"])
-
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<int>, n array<int>").collect()
-    got.sort(key=lambda r: r.doc_id)
-    return Index(names, idf, [(r.doc_id, r.toxic, np.array(r["at"], dtype=np.int64), np.array(r.n, dtype=np.float64)) for r in got], (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))
+            found = [terms(t, memory) for t in b.column("text").to_pylist()]
+            packed = [b"\n".join(f) for f in found]  # no term holds white space
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(packed, pa.binary()), pa.array([np.array(list(f.values()), dtype="<u4").tobytes() for f in found], pa.binary())], names=["doc_id", "toxic", "terms", "n"])
+
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, n binary").collect()
+    return index_of([(r.doc_id, r.toxic, bytes(r.terms), bytes(r.n)) for r in sorted(got, key=lambda r: r.doc_id)], counts)
+
+
+def index_of(rows: list[tuple[int, int, bytes, bytes]], counts: dict[int, int]) -> Index:
+    """Index of examples (id, label, terms, counts) in ascending id order; ``counts``: all labelled rows."""
+    number: dict[bytes, int] = {}
+    examples = []
+    for key, label, packed, n in rows:
+        at = np.array([number.setdefault(t, len(number)) for t in (packed.split(b"\n") if n else ())], dtype=np.int64)
+        order = np.argsort(at)
+        examples.append((key, label, at[order], np.frombuffer(n, dtype="<u4").astype(np.float64)[order]))
+    none = np.empty(0, np.int64)
+    a, b = (np.bincount(np.concatenate([*(e[2] for e in examples if e[1] == v), none]), minlength=len(number)).astype(np.float64) for v in (1, 0))
+    n0, n1 = (sum(e[1] == v for e in examples) for v in (0, 1))
+    n = len(examples)
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, (a + b) * (n - a - b) * n0 * n1)
+    return Index(list(number), np.log(1 + n / (a + b)) * (1 + chi), examples, (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
@@ -204,7 +215,8 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memory = shared.value, _Terms()
         for b in batches:
-            found = [index.score(terms(t, memory)) if index else (0.0, []) for t in b.column("text").to_pylist()]
+            found = [terms(t, memory) for t in b.column("text").to_pylist()]
+            found = index.score(found) if index else [(0.0, [])] * len(found)
             p = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=[*b.schema.names, "score", "predicted", "evidence"])
 

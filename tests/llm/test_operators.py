@@ -338,6 +338,15 @@ def test_toxicity(spark, toxic):
     assert {r.score for r in toxicity(toxic[0], none).collect()} == {0.0}
 
 
+def test_toxicity_of_few_examples_keeps_their_terms(spark, toxic):
+    from repolens.llm.toxicity import toxicity
+
+    docs, labels = toxic[0].where("doc_id < 36"), toxic[1].where("doc_id < 28")
+    got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
+    bad, good = [got[k].score for k in range(36) if k % 4 == 0], [got[k].score for k in range(36) if k % 4]
+    assert min(bad) > max(good) and all(r.evidence for r in got.values())
+
+
 def test_toxicity_search_is_exact():
     from repolens.llm.toxicity import Index
 
