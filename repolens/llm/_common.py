@@ -36,8 +36,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of input that one partition of a packed exchange stands for, and the most partitions.
+PART_BYTES, MOST_PARTS = 64 << 20, 32_768
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions of a packed exchange: the session's number, and more where the files that ``df`` reads
+    need them, as a task holds its partition's records in memory."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    if df is None:
+        return n
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of files; unknown sizes come as 2^63
+    return max(n, min(MOST_PARTS, -(-size // PART_BYTES))) if size < 1 << 62 else n
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,13 +61,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str, alone: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and the rows
-    survive the loss of any executor."""
+    survive the loss of any executor.  The shuffle files of the written query go with its end; with
+    ``alone``, so do all tables stored before in this session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/repolens-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    if alone:
+        cleanup(spark)
     _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,13 +84,25 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 BROADCAST = 32 << 20
 
 
-def lookup_table(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+def lookup_table(df: DataFrame, array: str | None = None, element_bytes: int = 24, row_bytes: int = 32) -> DataFrame:
     """``df`` as a written table, to be joined with whole texts: with a broadcast hint if its counted
-    rows stay within ``BROADCAST`` bytes, so that texts aren't shuffled; else without one."""
+    rows (and the elements of its column ``array``) stay within ``BROADCAST`` bytes, so that texts
+    aren't shuffled; else without one.  Both ways give the same rows."""
     table = stored(df)
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST else table
+    elements = F.sum(F.size(array)) if array else F.lit(0)
+    rows, more = table.agg(F.count("*"), elements).first()
+    return F.broadcast(table) if rows * row_bytes + (more or 0) * element_bytes <= BROADCAST else table
+
+
+def unused_name(name: str, columns: list[str]) -> str:
+    """``name``, or with marks behind it if a column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _stored: dict[str, list[str]] = {}
 
 
@@ -97,9 +127,9 @@ def crc_bucket(column: str, m: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
-def deal(df: DataFrame, column: str = "bucket") -> DataFrame:
+def deal(df: DataFrame, n: int | None = None, column: str = "bucket") -> DataFrame:
     """Send each row to the shuffle partition that ``column`` (0 .. n-1) names."""
-    return df.repartitionById(partitions(df.sparkSession), F.col(column))
+    return df.repartitionById(n or partitions(df.sparkSession), F.col(column))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
