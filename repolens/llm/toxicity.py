@@ -5,16 +5,18 @@ examples are a bounded sample of labelled rows (``EXAMPLES`` of each label at mo
 of the id) with their whole TF-IDF vectors: no term is left out.  A term's weight is multiplied by
 1 + its chi-square against the label, so that terms that tell labels apart count most.
 
-Search is exact and exhaustive: the ``DENSE`` terms that most examples have are one matrix, by which
-texts are multiplied in batches, and the others' postings are added to its cosines.
+Search is exact, by a block-max inverted index for batches of texts: the examples lie in blocks, a
+block has the largest weight of each common term, and blocks whose bound (with the rare terms'
+postings, which are added exactly) doesn't reach the k-th cosine found are passed over.
 A text's vote is the weighted mean of its neighbours' labels (weights cosine / (1.05 - cosine)).
 Votes become probabilities by logistic calibration on the examples' own leave-one-out votes,
 weighted back to the labels' true shares; texts without a term get the rate of such examples.
 ``evidence`` holds the ids of the nearest examples.
 
 Defined cases: null and empty texts have no term (they get that base rate); with no labelled row
-the score is 0; a document labelled twice counts with its larger label; documents without a label
-are scored like the others; ties between examples go to the smaller id.
+the score is 0; a document labelled twice counts with its larger label, and of several texts under
+one labelled doc_id the one with the smallest hash is the example; documents without a label are
+scored like the others; ties between examples go to the smaller id.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import crc_bucket, small_batches, widened, word_bytes
 
 EXAMPLES, K, DENSE, BATCH = 2_000, 15, 1_024, 512
+#: Examples of a block; blocks of a text that are evaluated before bounds are compared.
+BLOCK, FIRST = 32, 6
 _EDGE = b".,;:!?\"'()[]{}<>|*-_"
 
 
@@ -53,28 +57,35 @@ def terms(text: str | None, memory: dict) -> Counter:
 
 
 class Index:
-    """The examples' vectors by term: a matrix of common terms, postings of the others."""
+    """Inverted index of the examples' vectors, cut into blocks of ``BLOCK`` examples that share their
+    heaviest terms.  Postings of rare terms are added to a text's cosines directly; of the ``DENSE``
+    commonest terms a block holds a matrix, and the block maxima tell what it can add at most."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> None:
-        """examples: (id, label, term numbers, counts), in ascending id order; share: how many
-        real rows an example of label 0 or 1 stands for."""
+        """examples: (id, label, term numbers, counts), in any order; share: how many real rows an
+        example of label 0 or 1 stands for."""
         self.number, self.idf = {t: i for i, t in enumerate(terms)}, idf
+        heaviest = [int(e[2][np.argmax(self.weights(e[2], e[3]))]) if len(e[2]) else -1 for e in examples]
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples], dtype=np.float64)
+        #: The example at each place of the blocks, and the place of each example.
+        self.example = np.array(sorted(range(len(examples)), key=lambda i: (examples[i][1], heaviest[i], examples[i][0])), dtype=np.int64)
+        self.place = np.argsort(self.example)
         vectors = [self.weights(at, n) for _, _, at, n in examples]
         at = np.concatenate([np.asarray(e[2], dtype=np.int64) for e in examples] or [np.empty(0, np.int64)])
-        row = np.repeat(np.arange(len(examples)), [len(v) for v in vectors])
+        row = np.repeat(self.place, [len(v) for v in vectors])
         order = np.argsort(at, kind="stable")
         self.at = np.searchsorted(at[order], np.arange(len(terms) + 1))
         self.row, self.weight = row[order].astype(np.int32), np.concatenate([*vectors, np.empty(0)])[order]
         common = np.argsort(-np.diff(self.at), kind="stable")[:DENSE]
         self.slot = np.full(len(terms), -1, dtype=np.int32)
         self.slot[common] = np.arange(len(common))
+        self.blocks = max(1, -(-len(examples) // BLOCK))
         self.matrix: np.ndarray | None = None
         self._calibrate(examples, vectors, share)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "matrix": None}  # made again where it is used
+        return {**self.__dict__, "matrix": None, "most": None}  # made again where it is used
 
     def weights(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.idf[at]
@@ -85,34 +96,56 @@ class Index:
         n = self.at[t + 1] - self.at[t]
         return np.repeat(self.at[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
 
-    def cosines(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosine of each text (term numbers, weights) with each example."""
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (term numbers, weights) the (examples, cosines) of the k nearest examples with a
+        positive cosine, exactly; ties go to the smaller id.  ``without``: an example of each text
+        that is left out.  A text's best blocks are evaluated first; then those whose bound reaches
+        the k-th cosine found, the only ones that can hold a nearer example."""
         if self.matrix is None:
             common = np.flatnonzero(self.slot >= 0)
             p, n = self._postings(common)
-            self.matrix = np.zeros((len(common), len(self.ids)))
-            self.matrix[np.repeat(self.slot[common], n), self.row[p]] = self.weight[p]
-        q = np.zeros((len(texts), len(self.matrix)))
+            m = np.zeros((len(common), self.blocks * BLOCK))
+            m[np.repeat(self.slot[common], n), self.row[p]] = self.weight[p]
+            self.matrix = np.ascontiguousarray(m.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+            self.most = self.matrix.max(axis=2, initial=0).T.copy()
+        b, size = len(texts), self.blocks * BLOCK
+        q, cos = np.zeros((b, self.matrix.shape[1])), np.zeros((b, size))
         for i, (at, w) in enumerate(texts):
             s = self.slot[at]
-            q[i, s[s >= 0]] = w[s >= 0]
-        out = q @ self.matrix
-        for i, (at, w) in enumerate(texts):
-            rest = self.slot[at] < 0
-            p, n = self._postings(at[rest])
-            out[i] += np.bincount(self.row[p], np.repeat(w[rest], n) * self.weight[p], len(self.ids))
-        return np.round(out, 12)  # equal examples get equal cosines
-
-    def top(self, cos: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k largest positive cosines."""
+            own = s >= 0
+            q[i, s[own]] = w[own]
+            p, n = self._postings(at[~own])
+            cos[i] = np.bincount(self.row[p], np.repeat(w[~own], n) * self.weight[p], size)
+        cos[:, len(self.ids) :] = -1
+        if without is not None:
+            cos[np.arange(b), self.place[without]] = -1
+        bound = q @ self.most + cos.reshape(b, self.blocks, BLOCK).max(axis=2)
+        done = np.zeros((b, self.blocks), dtype=bool)
+
+        def evaluate(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, block])
+                cos[rows, block * BLOCK : (block + 1) * BLOCK] += q[rows] @ self.matrix[block]
+            done[wanted] = True
+
+        first = np.zeros_like(done)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        evaluate(first)
+        known = np.where(np.repeat(done, BLOCK, axis=1), cos, -1.0)
+        least = np.maximum(0.0, np.partition(known, -k, axis=1)[:, -k] if size >= k else 0.0)
+        evaluate(~done & (bound > 0) & (bound >= least[:, None] - 1e-9))
+        cos = np.where(np.repeat(done, BLOCK, axis=1), np.round(cos, 12), -1.0)  # equal examples get equal cosines
+        return [self._top(c, k) for c in cos]
+
+    def _top(self, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
         hit = np.flatnonzero((cos >= least) & (cos > 0))
-        best = hit[np.lexsort((hit, -cos[hit]))[:k]]
-        return best, cos[best]
+        best = hit[np.lexsort((self.ids[self.example[hit]], -cos[hit]))[:k]]
+        return self.example[best], cos[best]
 
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a positive cosine, exactly."""
-        return self.top(self.cosines([(at, q)])[0], k)
+        return self.search([(at, q)], k)[0]
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         w = cos / (1.05 - np.minimum(cos, 1.0))
@@ -123,9 +156,7 @@ class Index:
         votes = np.full(len(examples), np.nan)
         for s in range(0, len(examples), BATCH):
             part = [(e[2], v) for e, v in zip(examples[s : s + BATCH], vectors[s : s + BATCH], strict=True)]
-            for i, cos in enumerate(self.cosines(part), s):
-                cos[i] = 0
-                near, best = self.top(cos)
+            for i, (near, best) in enumerate(self.search(part, without=np.arange(s, s + len(part))), s):
                 if len(near):
                     votes[i] = self.vote(near, best)
         bare = np.isnan(votes)
@@ -145,17 +176,11 @@ class Index:
                 a, b = a + float(np.clip(d[0], -3, 3)), b + float(np.clip(d[1], -3, 3))
         self.a, self.b = a, b
 
-    def score(self, found: list[Counter]) -> list[tuple[float, list[int]]]:
-        """(probability, ids of the nearest examples) for each text's terms."""
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """(probability, ids of the nearest examples) for each text's (term numbers, weights)."""
         out = []
-        for s in range(0, len(found), BATCH):
-            part = []
-            for text in found[s : s + BATCH]:
-                own = sorted((self.number[t], n) for t, n in text.items() if t in self.number)
-                at, n = np.array([o[0] for o in own], dtype=np.int64), np.array([o[1] for o in own], dtype=np.float64)
-                part.append((at, self.weights(at, n)))
-            for cos in self.cosines(part):
-                near, best = self.top(cos)
+        for s in range(0, len(texts), BATCH):
+            for near, best in self.search(texts[s : s + BATCH]):
                 if len(near):
                     out.append((float(1 / (1 + np.exp(-(self.a * (self.vote(near, best) - 0.5) + self.b)))), self.ids[near[:3]].tolist()))
                 else:
@@ -163,6 +188,38 @@ class Index:
         return out
 
 
+class Reader:
+    """Vectors of texts: a word is looked up once for the numbers of its terms, remembered to a bound."""
+
+    def __init__(self, index: Index) -> None:
+        self.index, self.terms = index, _Terms()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.table = np.empty((0, 3), dtype=np.int64)
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        words = [word_bytes(t) for t in texts]
+        new = set().union(*words).difference(self.slot)
+        if len(self.slot) + len(new) > 300_000:
+            self._clear()
+            new = set().union(*words)
+        if new:
+            number, more = self.index.number, np.full((len(new), 3), -1, dtype=np.int64)
+            for i, w in enumerate(new):
+                found = self.terms[w]
+                more[i, : len(found)] = [number.get(t, -1) for t in found]
+                self.slot[w] = len(self.table) + i
+            self.table = np.concatenate([self.table, more])
+        out = []
+        for w in words:
+            at = self.table[np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w))].ravel()
+            at, n = np.unique(at[at >= 0], return_counts=True)
+            out.append((at, self.index.weights(at, n)))
+        return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed, examples: int = EXAMPLES) -> Index | None:
     """Index over a bounded sample of ``labels`` (doc_id, toxic) where ``allowed`` holds."""
     spark = docs.sparkSession
@@ -173,10 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, examples: int = EXAMPLES) -
     if not counts:
         return None
     part = {t: min(1 << 20, int(examples / n * (1 << 20)) + 1) for t, n in counts.items()}
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, part.get(1, 0)).otherwise(part.get(0, 0))).limit(3 * examples)
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, part.get(1, 0)).otherwise(part.get(0, 0))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * examples)
     rows = [(r.doc_id, r.toxic) for r in picked.collect()]  # bounded ids and labels
     ids = spark.createDataFrame(rows, "doc_id long, toxic int")
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Terms()
@@ -213,10 +270,11 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memory = shared.value, _Terms()
+        index = shared.value
+        reader = Reader(index) if index else None
         for b in batches:
-            found = [terms(t, memory) for t in b.column("text").to_pylist()]
-            found = index.score(found) if index else [(0.0, [])] * len(found)
+            texts = b.column("text").to_pylist()
+            found = index.score(reader.vectors(texts)) if reader else [(0.0, [])] * len(texts)
             p = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=[*b.schema.names, "score", "predicted", "evidence"])
 
