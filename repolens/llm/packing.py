@@ -1,13 +1,18 @@
 """Lexical retrieval packing: windows of related documents from a sharded BM25 inverted index.
 
 Each document's ids are cut at multiples of ``WINDOW``: the full windows are sequences of their own,
-the rest is a unit.  Units are dealt to shards (by a hash of the id, ``SHARD`` units at most in an
-index), and each shard builds an inverted index of its units' token ids.  The longest unused unit
-is the seed of a window; its ``QUERY`` heaviest terms are looked up, and the unused units of the
-highest BM25 scores fill the window greedily, best first.  A unit that is too long for the room
-left is cut at a multiple of ``STEP`` ids, and its rest stays in the index as a unit; where no unit
-shares a term, the next unused one is taken.  So a window loses less than ``STEP`` ids, but for the
-last one of a shard.
+the rest is a unit.  Document frequencies, number and mean length of the units are those of the whole
+corpus (at most one number for each id of the vocabulary).  Units are dealt to shards by likeness: a
+unit's place is named by two terms, each drawn by its BM25 weights with the same random numbers for
+all units, so that two units draw the same one the likelier the more weight they share; units sorted
+by these terms are cut into ranges, and every ``SHARD`` of a range are one shard.  A group of like
+units larger than a shard falls into several; it is never held whole.
+
+Each shard builds an inverted index of its units' token ids.  The longest unused unit is the seed of a
+window; its ``QUERY`` heaviest terms are looked up, and the unused units of the highest BM25 scores
+fill the window greedily, best first.  A unit that is too long for the room left is cut at a multiple
+of ``STEP`` ids, and its rest stays in the index as a unit; where no unit shares a term, the next
+unused one is taken.  So a window loses less than ``STEP`` ids, but for the last one of a shard.
 
 Ids themselves aren't shuffled: a unit travels as its length, its bag of token ids and the crc32 of
 its prefixes at every ``STEP`` ids; the crc32 of any piece follows from the crcs of two prefixes.
@@ -27,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import deal, mix64, partitions, range_bucket, small_batches
+from ._common import deal, mix64, partitions, small_batches, stored, widened
 from .encoder import default_path, encoder
 
-WINDOW, STEP, SHARD, QUERY = 2_048, 16, 4_096, 12
-#: BM25's saturation and length norm; terms of more than this share of a shard aren't looked up.
-K1, B, COMMON = 1.2, 0.75, 0.1
+WINDOW, STEP, SHARD, QUERY = 2_048, 16, 4_096, 32
+#: BM25's saturation and length norm.
+K1, B = 1.2, 0.75
 _POLY = 0xEDB88320
 
 
@@ -65,24 +70,43 @@ def crc_between(to_start: np.ndarray, to_end: np.ndarray, length: np.ndarray) ->
     return _times(_POWERS[length], to_start.astype(np.uint64)) ^ to_end.astype(np.uint64)
 
 
+class Bm25:
+    """Weights of the terms of units, by statistics of all units."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float) -> None:
+        self.idf, self.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, mean)
+        draw = mix64(np.arange(2 * len(df), dtype=np.uint64)).astype(np.float64) / 2.0**64
+        self.race = -np.log(np.maximum(draw, 1e-18)).reshape(2, -1)
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Weight of each posting (unit 0 .. n-1, term, frequency)."""
+        norm = K1 * (1 - B + B * np.bincount(doc, tf, n) / self.mean)
+        return self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+    def drawn(self, term: np.ndarray, weight: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Two terms of each unit (its postings begin at ``first``), drawn by weight: the term that is
+        first in a race at the speed of its weight."""
+        out = []
+        for race in self.race:
+            time = race[term] / weight
+            best = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, first), np.diff(np.r_[first, len(term)])))
+            out.append(term[best[np.searchsorted(best, first)]])
+        return out
+
+
 class Shard:
     """Units of one shard and their inverted index."""
 
-    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bm25: Bm25) -> None:
         n = self.n = len(lengths)
         doc = np.repeat(np.arange(n), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float32)
-        size = np.bincount(doc, tf, n)
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
-        df = np.bincount(term)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        weight[df[term] > max(2, COMMON * n)] = 0
+        weight = bm25.weights(doc, term, tf, n)
         self.first = np.searchsorted(doc, np.arange(n + 1))
         self.own_terms, self.own_weights = term, weight
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.post_first = np.r_[0, np.cumsum(df)]
+        self.post_first = np.r_[0, np.cumsum(np.bincount(term))]
         self.left = lengths.astype(np.int64).copy()
 
     def neighbours(self, seed: int) -> np.ndarray:
@@ -134,7 +158,7 @@ class Shard:
             yield window
 
 
-def _units(docs: DataFrame, path: str, end_id: int, n: int) -> DataFrame:
+def _units(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
@@ -150,12 +174,41 @@ def _units(docs: DataFrame, path: str, end_id: int, n: int) -> DataFrame:
                 total.append(len(ids))
                 crcs.append(np.array(own, dtype="<u4").tobytes())
                 terms.append(t.astype("<u4" if enc.dtype.itemsize == 4 else "<u2").tobytes())
-                counts.append(np.minimum(c, 255).astype(np.uint8).tobytes())
+                counts.append(c.astype("<u2").tobytes())
                 order.append(zlib.crc32(crcs[-1]))
-            key = mix64(np.array([(k or 0) & (1 << 64) - 1 for k in keys.to_pylist()], dtype=np.uint64) ^ np.array(order, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(range_bucket(key, n)), keys, pa.array(order, pa.int64()), pa.array(total, pa.int64()), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "doc_id", "tie", "total", "crcs", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(order, pa.int64()), pa.array(total, pa.int64()), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=_UNIT)
+
+    return docs.mapInArrow(run, "doc_id long, tie long, total long, crcs binary, terms binary, counts binary")
+
+
+def _statistics(units: DataFrame, kind: str, ids: int, n: int) -> Bm25:
+    """BM25 statistics of all units: tasks count, slices of the vocabulary are summed apart."""
+    slices = min(n, 16)
+    cuts = np.linspace(0, ids + 2, slices + 1).astype(int)  # the last two cells: units, ids
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(ids + 2, dtype=np.int64)
+        for b in batches:
+            t, total = np.frombuffer(b"".join(b.column("terms").to_pylist()), kind), b.column("total").to_numpy()
+            df[:ids] += np.bincount(t, minlength=ids)
+            df[ids] += int((total % WINDOW > 0).sum())
+            df[ids + 1] += int((total % WINDOW).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([df[x:z].tobytes() for x, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "df"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column("bucket").to_pylist(), b.column("df").to_pylist(), strict=True):
+                found[k] = found.get(k, 0) + np.frombuffer(blob, dtype=np.int64)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["bucket", "df"])
+
+    got = {r.bucket: bytes(r.df) for r in deal(units.select("terms", "total").mapInArrow(count, "bucket int, df binary")).mapInArrow(total, "bucket int, df binary").collect()}
+    df = np.frombuffer(b"".join(got[k] for k in sorted(got)), dtype=np.int64) if got else np.zeros(ids + 2, dtype=np.int64)
+    return Bm25(df[:ids].astype(np.float64), int(df[ids]), float(df[ids + 1]) / max(1, int(df[ids])))
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, tie long, total long, crcs binary, terms binary, counts binary")
+
+_UNIT = ["doc_id", "tie", "total", "crcs", "terms", "counts"]
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
@@ -163,17 +216,35 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame
     sequence_id, offset long; each id lies in one piece, and a sequence has WINDOW ids at most."""
     spark, path = docs.sparkSession, path or default_path()
     small_batches(spark)
-    n = partitions(spark)
-    wide = encoder(path).dtype.itemsize == 4
+    n = partitions(spark, docs)
+    enc = encoder(path)
+    kind, ids = ("<u4" if enc.dtype.itemsize == 4 else "<u2"), max(enc.size, end_id + 1)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    units = stored(_units(own, path, end_id))
+    shared = spark.sparkContext.broadcast(_statistics(units, kind, ids, n))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bm25 = shared.value
+        for b in batches:
+            terms = [np.frombuffer(x, kind) for x in b.column("terms").to_pylist()]
+            size = np.array([len(t) for t in terms])
+            keys = np.zeros((2, len(terms)), dtype=np.int64)
+            some = np.flatnonzero(size)
+            if len(some):
+                doc, term = np.repeat(np.arange(len(terms)), size), np.concatenate(terms).astype(np.int64)
+                tf = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<u2").astype(np.float32)
+                keys[:, some] = bm25.drawn(term, bm25.weights(doc, term, tf, len(terms)), np.r_[0, np.cumsum(size)[:-1]][some])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _UNIT), pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int32())], names=[*_UNIT, "near", "nearer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = 0, []
+        from pyspark import TaskContext
+
+        bucket, number, rows = TaskContext.get().partitionId(), 0, []
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            rows.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2]))
-            bucket, total = rows[0][0], np.array([r[3] for r in rows], dtype=np.int64)
+            rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            total = np.array([r[2] for r in rows], dtype=np.int64)
             pieces = []  # (row, start, length, sequence, offset)
             for i, t in enumerate(total.tolist()):
                 for k in range(t // WINDOW):
@@ -181,7 +252,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame
                     number += 1
             units = np.flatnonzero(total % WINDOW)
             if len(units):
-                shard = Shard(total[units] % WINDOW, [np.frombuffer(rows[i][5], "<u4" if wide else "<u2") for i in units], [np.frombuffer(rows[i][6], np.uint8) for i in units])
+                shard = Shard(total[units] % WINDOW, [np.frombuffer(rows[i][4], kind) for i in units], [np.frombuffer(rows[i][5], "<u2") for i in units], shared.value)
                 for window in shard.windows():
                     at = 0
                     for u, s, length in window:
@@ -190,26 +261,25 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame
                         at += length
                     number += 1
             p = np.array(pieces, dtype=np.int64)
-            crcs = [np.frombuffer(r[4], "<u4") for r in rows]
+            crcs = [np.frombuffer(r[3], "<u4") for r in rows]
             first = np.array([crcs[i][s // STEP] for i, s in zip(p[:, 0].tolist(), p[:, 1].tolist(), strict=True)], dtype=np.uint64)
             last = np.array([crcs[i][-(-e // STEP)] for i, e in zip(p[:, 0].tolist(), (p[:, 1] + p[:, 2]).tolist(), strict=True)], dtype=np.uint64)
             crc = crc_between(first, last, p[:, 2]).astype(np.int64)
-            keys = pa.array([r[1] for r in rows], pa.int64())
+            keys = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(p[:, 0])), *map(pa.array, (np.ascontiguousarray(p[:, 1]), np.ascontiguousarray(p[:, 2]), crc, total[p[:, 0]], p[:, 3] + (bucket << 40), np.ascontiguousarray(p[:, 4])))], names=names)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "tie", "total", "crcs", "terms", "counts")), strict=True):
-                if rows and (len(rows) >= SHARD or row[0] != rows[0][0]):
-                    same = row[0] == rows[0][0]
-                    yield from flush(rows)
-                    number, rows = number if same else 0, []
+            for row in zip(*(b.column(c).to_pylist() for c in _UNIT), strict=True):
                 rows.append(row)
+                if len(rows) == SHARD:
+                    yield from flush(rows)
+                    rows = []
         if rows:
             yield from flush(rows)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    # sorted by a hash, so that the shards of a partition don't depend on the order of arrival
-    units = deal(_units(own, path, end_id, n)).sortWithinPartitions("bucket", F.xxhash64("doc_id", "tie"), "doc_id", "tie")
+    order = ["near", "nearer", F.xxhash64("doc_id", "tie"), F.col("doc_id"), F.col("tie")]
+    units = units.mapInArrow(place, widened(units, near="int", nearer="int")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     return units.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
