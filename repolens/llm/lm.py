@@ -14,8 +14,9 @@ all data; a larger corpus has a larger ``least``, as pruned models do.)
 Probability: P(w | h) = (1 - l) * P1(w) + l * c(hw) / c(h), P1(w) = (c(w) + 1) / (N + V + 1), with
 c(hw) no larger than c(h).  Counts come from the filter (those of the commonest words, which travel
 with it, exactly); the context of the first word is the end token.  The weight l belongs to the
-level of c(h) and is fitted by deleted interpolation on at most ``TUNED`` training texts (each
-occurrence is left out of its own counts).  ``score`` is the sum of log10 P over words and end.
+level of c(h) and is fitted by deleted interpolation on every ``EVERY``-th token of all training texts
+(each is left out of its own counts, so pairs that occur once have no say, and none is kept).
+``score`` is the sum of log10 P over words and end.
 
 ``base_score`` needs exact counts: the ``FREQUENT`` commonest words travel with the filter (a
 bounded table), which also keeps hot words out of the exchange; the other words of a document are
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from ._common import by_bucket, crc_bucket, deal, dropped, mix64, partitions, range_bucket, small_batches, stored, word_bytes
 
 FILTER_BITS, FREQUENT = 1 << 29, 1 << 20
-#: Membership hashes of a key and bits a key; base of the quantisation; texts for the weights.
-PROBES, BITS, BASE, TUNED = 5, 10, 1.5, 1_000
+#: Membership hashes of a key and bits a key; base of the quantisation.
+PROBES, BITS, BASE = 5, 10, 1.5
+#: The weights are fitted on every EVERY-th training token; steps of a ratio's logarithm; no ratio.
+EVERY, ODDS, NONE = 32, 16, -(1 << 40)
 #: Tokens combined at once, words remembered by a worker.
 TOKENS, REMEMBERED = 3_000_000, 400_000
 LEVELS = 96
@@ -113,9 +116,7 @@ class Slots:
         if new:
             words = sorted(new)
             h = np.array([self.words.digest(w) for w in words], dtype=np.uint64)
-            hit, exact = self.model.known(h)
-            count = exact.astype(np.float64)
-            count[~hit] = count_of(self.model.filter.levels(h[~hit], range_bucket(mix64(h[~hit]), self.model.parts)))
+            (hit, exact), count = self.model.known(h), self.model.count(h)
             self.slot.update(zip(words, range(len(self.hash), len(self.hash) + len(words)), strict=True))
             self.hash, self.frequent, self.exact, self.count = np.r_[self.hash, h], np.r_[self.frequent, hit], np.r_[self.exact, exact], np.r_[self.count, count]
         return [np.fromiter(map(self.slot.__getitem__, t), np.int64, len(t)) for t in texts]
@@ -163,7 +164,7 @@ def filter_part(h: np.ndarray, levels: np.ndarray, size: int) -> bytes:
 def count(docs: DataFrame) -> DataFrame:
     """Counts of the words and pairs of ``docs`` (text), one row a hash range: bucket int, tokens
     long, types long, hist array<long> (n-grams by level), words binary, pairs binary (those that
-    occur twice at least)."""
+    occur twice at least), places binary (every EVERY-th token with the one before it)."""
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
@@ -183,6 +184,8 @@ def count(docs: DataFrame) -> DataFrame:
             rec = np.zeros(len(p), dtype=_PAIR)
             rec["h"], rec["n"] = low48(p).view("<u2").reshape(-1, 4)[:, :3], c
             yield from rows(1, rec, p)
+            rec = np.stack([np.r_[end, tokens[:-1]][::EVERY], tokens[::EVERY]], 1)
+            yield from rows(2, rec, mix64(rec[:, 1]))
 
         def rows(kind: int, rec: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
             for bucket, at in by_bucket(range_bucket(key, n), n):
@@ -200,7 +203,7 @@ def count(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: tuple[list, list] = ([], [])
+        got: tuple[list, list, list] = ([], [], [])
         bucket = -1
         for b in batches:
             for k, kind, blob in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
@@ -228,9 +231,9 @@ def count(docs: DataFrame) -> DataFrame:
         pairs["h"], pairs["n"] = ph, pc
         hist = np.bincount(level(pc), minlength=LEVELS)
         top = np.bincount(level(c), minlength=LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(c.sum())], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([hist.tolist()], pa.list_(pa.int64())), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "tokens", "types", "hist", "top", "words", "pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(c.sum())], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([hist.tolist()], pa.list_(pa.int64())), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pairs.tobytes()], pa.binary()), pa.array([b"".join(got[2])], pa.binary())], names=["bucket", "tokens", "types", "hist", "top", "words", "pairs", "places"])
 
-    return stored(deal(docs.select("text").mapInArrow(emit, "bucket int, kind byte, blob binary")).mapInArrow(total, "bucket int, tokens long, types long, hist array<long>, top array<long>, words binary, pairs binary"))
+    return stored(deal(docs.select("text").mapInArrow(emit, "bucket int, kind byte, blob binary")).mapInArrow(total, "bucket int, tokens long, types long, hist array<long>, top array<long>, words binary, pairs binary, places binary"))
 
 
 class Model:
@@ -259,15 +262,28 @@ class Model:
         l = self.weights[level(ch)] * (ch > 0)
         return np.log10((1 - l) * (cw + 1) / (self.tokens + self.types + 1) + l * both / np.maximum(ch, 1))
 
-    def tune(self, cw: np.ndarray, ch: np.ndarray, both: np.ndarray) -> None:
-        """Weights by level of the context, each training occurrence left out of its counts."""
-        at = level(ch)
-        p1 = np.maximum(cw, 1) / (self.tokens + self.types + 1)
-        p2 = np.maximum(both - 1, 0) / np.maximum(ch - 1, 1)
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """c(w): exact for the commonest words, that of the filter's level for the others."""
+        hit, exact = self.known(h)
+        out = exact.astype(np.float64)
+        out[~hit] = count_of(self.filter.levels(h[~hit], range_bucket(mix64(h[~hit]), self.parts)))
+        return out
+
+    def odds(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level of c(h), pair estimate over word estimate) of training tokens, each left out of its own
+        counts; the ratio as a whole number of steps of 1 / ODDS of its logarithm, NONE if it is 0."""
+        cw, ch = self.count(h), self.count(before)
+        both = self.shared(h, before, ch)
+        p1, p2 = np.maximum(cw, 1) / (self.tokens + self.types + 1), np.maximum(both - 1, 0) / np.maximum(ch - 1, 1)
+        return level(ch), np.where(p2 > 0, np.round(np.log(np.maximum(p2, 1e-300) / p1) * ODDS), NONE).astype(np.int64)
+
+    def tune(self, at: np.ndarray, ratio: np.ndarray, n: np.ndarray) -> None:
+        """Weights by level of the context from numbers of tokens by (level, ratio)."""
+        r = np.where(ratio == NONE, 0.0, np.exp(np.minimum(ratio, 600 * ODDS) / ODDS))
+        total = np.bincount(at, n, LEVELS)
         for _ in range(20):
             l = self.weights[at]
-            share = l * p2 / (l * p2 + (1 - l) * p1)
-            self.weights = (np.bincount(at, share, LEVELS) + 0.05) / (np.bincount(at, minlength=LEVELS) + 1.0)
+            self.weights = (np.bincount(at, n * (l * r / (l * r + 1 - l)), LEVELS) + 0.05) / (total + 1.0)
 
 
 def build(counts: DataFrame, filter_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> Model:
@@ -299,18 +315,25 @@ def build(counts: DataFrame, filter_bits: int = FILTER_BITS, frequent: int = FRE
     return Model(filt, f["h"].copy(), f["n"].copy(), tokens, types, n)
 
 
-def tune(model: Model, docs: DataFrame) -> None:
-    """Fit the interpolation weights on a bounded sample of the training texts."""
-    share = min(1.0, TUNED * 400 / max(1, model.tokens))  # at about 400 tokens a text
+def tune(model: Model, counts: DataFrame) -> None:
+    """Fit the interpolation weights on every EVERY-th training token: tasks count tokens by level of
+    the context and ratio of the two estimates, and the driver sees these counts alone."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
 
-    texts = [r.text for r in docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").limit(TUNED).collect()]
-    if texts:
-        slots = Slots(model)
-        own = slots.of([[*word_bytes(t), END] for t in texts] + [[END]])
-        at = np.concatenate(own[:-1])
-        before = np.r_[own[-1], at[:-1]]
-        ch = slots.count[before]
-        model.tune(slots.count[at], ch, model.shared(slots.hash[at], slots.hash[before], ch))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            for blob in b.column("places").to_pylist():
+                places = np.frombuffer(blob, dtype="<u8").reshape(-1, 2)
+                if len(places):
+                    key, n = np.unique(np.stack(model.odds(places[:, 0], places[:, 1]), 1), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(n)], names=["level", "ratio", "n"])
+
+    got = counts.select("places").mapInArrow(run, "level long, ratio long, n long").groupBy("level", "ratio").agg(F.sum("n").alias("n")).collect()  # LEVELS times some hundred ratios
+    if got:
+        at, ratio, n = (np.array([r[k] for r in got], dtype=np.int64) for k in ("level", "ratio", "n"))
+        order = np.lexsort((ratio, at))
+        model.tune(at[order], ratio[order], n[order].astype(np.float64))
 
 
 _ASK = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<u4")])
@@ -325,7 +348,7 @@ def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
     own = docs.select(*keep, F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = count(own.where(~F.col("held_out")))
     model = build(counts)
-    tune(model, own.where(~F.col("held_out")))
+    tune(model, counts)
     shared = spark.sparkContext.broadcast(model)
     kept_schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
 
