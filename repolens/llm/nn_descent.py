@@ -8,10 +8,13 @@ neighbours, whose edges at or above the threshold are the links.
    each pivot compares its members with one another, and pairs better than a member's worst
    neighbour go to that member.  Pivots with many members compare them in groups of ``GROUP``.
    A list whose worst entry reaches the threshold is saturated and doubles its length.
-4. Rounds go on until an audit is met: up to ``AUDIT`` vertices are compared with all vectors, and
-   the share of their true links whose two ends are in one component has to be ``RECALL``.
+4. Rounds go on until an audit is met: sampled vertices are compared with all vectors, and the share
+   of a vertex's true links whose two ends are in one component has to be ``RECALL`` on average; the
+   sample grows until ``SEEN`` of its vertices have links.  Each time it is missed, further trees
+   join the lists.  After ``MOST_ROUNDS`` the operator fails with the figure; it gives no
+   incomplete result.
 5. Links within each component are counted exactly, block against block, and only counts leave a
-   task: a group of g vectors costs g rows, not g * g.
+   task: a group of g vectors costs g * ceil(g / BLOCK) rows sent and g counted, and g * g products.
 
 State (id, weight, vector, list) is packed by hash range of the id, and one exchange moves a
 partition as few large rows.  Each round's state is a written table.
@@ -35,8 +38,10 @@ from ._common import by_bucket, deal, dropped, mix64, partitions, range_bucket,
 from .components import components
 from .vectors import dimension, matrix, usable
 
-TREES, LEAF, K, GROUP, BLOCK = 8, 384, 8, 96, 1_024
-SAMPLE, AUDIT, RECALL, MOST_ROUNDS = 4_096, 256, 0.999, 8
+TREES, LEAF, K, GROUP = 8, 384, 8, 96
+#: Rows of a block that is sent whole, and of a square of it that is compared at once.
+BLOCK, SQUARE = 8_192, 1_024
+SAMPLE, AUDIT, SEEN, MOST_AUDITED, RECALL, MOST_ROUNDS = 4_096, 256, 32, 16_384, 0.999, 24
 _EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("s", "<f8")])
 _ROW = "bucket int, kind byte, blob binary"
 
@@ -103,38 +108,57 @@ class _Graph:
         self.table = self._first()
 
     def _first(self) -> DataFrame:
+        dim, vertex, parts = self.dim, self.vertex, self.parts
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rec = np.zeros(b.num_rows, dtype=vertex)
+                rec["id"], rec["w"], rec["room"], rec["x"] = b.column("id").to_numpy(), b.column("w").to_numpy(), K, matrix(b.column("vec"), dim)
+                yield from _rows(0, rec, _home(rec["id"], parts), parts)
+
+        return self._leaves(self.reps.mapInArrow(emit, _ROW), 11)
+
+    def more_trees(self, seed: int) -> None:
+        """Further forests, whose leaves' best pairs join the lists."""
+        old = self.table
+        self.table = self._leaves(old, seed)
+        dropped(old)
+
+    def _leaves(self, table: DataFrame, seed: int) -> DataFrame:
         parts, dim, vertex = self.parts, self.dim, self.vertex
         depth = max(0, int(np.ceil(np.log2(max(1, self.n) / LEAF))))
         share = min(1.0, SAMPLE / max(1, self.n))
         sample = self.reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(2 * SAMPLE).collect()
-        planes = np.random.default_rng(11).standard_normal((dim, TREES * depth))
+        planes = np.random.default_rng(seed).standard_normal((dim, TREES * depth))
         unit = _unit(np.array([r.vec for r in sample], dtype=np.float64).reshape(-1, dim))
         cuts = np.median(unit @ planes, axis=0) if depth else np.zeros(0)
         shared = self.spark.sparkContext.broadcast((planes, cuts))
+        leafed = np.dtype([("leaf", "<u8"), *[(k, vertex[k]) for k in vertex.names]])
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             planes, cuts = shared.value
-            leafed = np.dtype([("leaf", "<u8"), *[(k, vertex[k]) for k in vertex.names]])
             for b in batches:
-                rec = np.zeros(b.num_rows, dtype=vertex)
-                rec["id"], rec["w"], rec["room"], rec["x"] = b.column("id").to_numpy(), b.column("w").to_numpy(), K, matrix(b.column("vec"), dim)
-                yield from _rows(0, rec, _home(rec["id"], parts), parts)
-                codes = (_unit(rec["x"]) @ planes > cuts).reshape(len(rec), TREES, depth)
-                keys = mix64((codes.astype(np.uint64) << np.arange(depth, dtype=np.uint64)).sum(axis=2, dtype=np.uint64) * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64))
-                for t in range(TREES):
-                    out = np.zeros(len(rec), dtype=leafed)
-                    for k in vertex.names:
-                        out[k] = rec[k]
-                    # a leaf may hold any number of vertices: those of a leaf are spread by their
-                    # second hash, and leaves far above the usual size are compared in parts
-                    out["leaf"] = keys[:, t]
-                    yield from _rows(1, out, range_bucket(keys[:, t], parts), parts)
+                yield b
+                for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                    if kind:
+                        continue
+                    rec = np.frombuffer(blob, dtype=vertex)
+                    codes = (_unit(rec["x"]) @ planes > cuts).reshape(len(rec), TREES, depth)
+                    keys = mix64((codes.astype(np.uint64) << np.arange(depth, dtype=np.uint64)).sum(axis=2, dtype=np.uint64) * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64))
+                    for t in range(TREES):
+                        out = np.zeros(len(rec), dtype=leafed)
+                        for k in vertex.names:
+                            out[k] = rec[k]
+                        # a leaf may hold any number of vertices: those of a leaf are spread by their
+                        # second hash, and leaves far above the usual size are compared in parts
+                        out["leaf"] = keys[:, t]
+                        yield from _rows(2, out, range_bucket(keys[:, t], parts), parts)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leafed = np.dtype([("leaf", "<u8"), *[(k, vertex[k]) for k in vertex.names]])
-            got = _taken(batches, {0: vertex, 1: leafed})
+            got = _taken(batches, {0: vertex, 1: _EDGE, 2: leafed})
             yield from _rows(0, got[0], _home(got[0]["id"], parts), parts)
-            rec = got[1][np.lexsort((mix64(got[1]["id"]), got[1]["leaf"]))]
+            yield from _rows(1, got[1], _home(got[1]["a"], parts), parts)
+            rec = got[2][np.lexsort((mix64(got[2]["id"]), got[2]["leaf"]))]
             ends = np.flatnonzero(np.r_[True, rec["leaf"][1:] != rec["leaf"][:-1], True]) if len(rec) else []
             found = []
             for a, z in zip(ends[:-1], ends[1:], strict=True):
@@ -143,10 +167,10 @@ class _Graph:
                     r = rec[a + (z - a) * p // pieces : a + (z - a) * (p + 1) // pieces]
                     found.append(_pairs(r["id"], _unit(r["x"]), np.full(len(r), -2.0), K))
             if found:
-                e = np.concatenate(found)
+                e = _once(np.concatenate(found))
                 yield from _rows(1, e, _home(e["a"], parts), parts)
 
-        return self._merged(deal(self.reps.mapInArrow(emit, _ROW)).mapInArrow(compare, _ROW))
+        return self._merged(deal(table.mapInArrow(emit, _ROW)).mapInArrow(compare, _ROW))
 
     def _merged(self, edges: DataFrame) -> DataFrame:
         """Lists of kind 1 edges joined with the vertices of kind 0; saturated lists get more room."""
@@ -239,27 +263,33 @@ def _once(e: np.ndarray) -> np.ndarray:
     return np.unique(e)
 
 
-def _audit(reps: DataFrame, labels: DataFrame, dim: int, n: int, threshold: float) -> float:
-    """Share of a bounded sample's true links that lie within one component."""
-    spark, share = reps.sparkSession, min(1.0, AUDIT / max(1, n))
-    picked = reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vec").limit(2 * AUDIT).collect()
-    if not picked:
-        return 1.0
-    ids, q = np.array([r.id for r in picked], dtype=np.int64), _unit(np.array([r.vec for r in picked], dtype=np.float64))
-    shared = spark.sparkContext.broadcast((ids, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for b in batches:
-            own = b.column("id").to_numpy()
-            i, j = np.nonzero(_unit(matrix(b.column("vec"), dim)) @ q.T >= threshold)
-            keep = own[i] != ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(own[i][keep]), pa.array(ids[j][keep])], names=["a", "b"])
-
+def _audit(reps: DataFrame, labels: DataFrame, dim: int, n: int, threshold: float) -> tuple[float | None, int]:
+    """(recall, vertices it rests on): the mean, over sampled vertices that have true links, of the
+    share of these links that lie within one component, each vertex with equal weight, so that a
+    large group can't hide what small ones lost.  The sample grows until ``SEEN`` of its vertices
+    have links, or to ``MOST_AUDITED`` vertices; None if none of them has a link."""
+    spark, size = reps.sparkSession, AUDIT
     l = labels.select(F.col("v"), F.col("component"))
-    true = reps.select("id", "vec").mapInArrow(run, "a long, b long")
-    got = true.join(l.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(l.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-    return got.hit / got.n if got.n else 1.0
+    while True:
+        share = min(1.0, size / max(1, n))
+        picked = reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vec").limit(2 * size).collect()
+        ids, q = np.array([r.id for r in picked], dtype=np.int64), _unit(np.array([r.vec for r in picked], dtype=np.float64).reshape(-1, dim))
+        shared = spark.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                own = b.column("id").to_numpy()
+                i, j = np.nonzero(_unit(matrix(b.column("vec"), dim)) @ q.T >= threshold)
+                keep = own[i] != ids[j]
+                yield pa.RecordBatch.from_arrays([pa.array(own[i][keep]), pa.array(ids[j][keep])], names=["a", "b"])
+
+        true = reps.select("id", "vec").mapInArrow(run, "a long, b long")
+        both = true.join(l.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(l.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
+        got = both.groupBy("b").agg(F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("hit")).agg(F.avg("hit").alias("recall"), F.count("*").alias("n")).first()
+        if got.n >= SEEN or size >= min(n, MOST_AUDITED):
+            return got.recall, got.n
+        size *= 8
 
 
 def _counted(reps: DataFrame, labels: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -286,16 +316,26 @@ def _counted(reps: DataFrame, labels: DataFrame, dim: int, threshold: float) ->
         ends = np.flatnonzero(np.r_[True, (r["c"][1:] != r["c"][:-1]) | (r["i"][1:] != r["i"][:-1]) | (r["j"][1:] != r["j"][:-1]), True])
         for a, z in zip(ends[:-1], ends[1:], strict=True):
             g = r[a:z]
-            first, second = (g, g) if g["i"][0] == g["j"][0] else (g[g["own"] == g["i"]], g[g["own"] == g["j"]])
-            near = (_unit(first["x"]) @ _unit(second["x"]).T >= threshold) & (first["id"][:, None] != second["id"][None, :])
-            out = [(first["id"], near @ second["w"])] + ([] if first is g else [(second["id"], first["w"] @ near)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int64))], names=["id", "links"])
+            same = g["i"][0] == g["j"][0]
+            first, second = (g, g) if same else (g[g["own"] == g["i"]], g[g["own"] == g["j"]])
+            counts = np.zeros(len(first), dtype=np.int64), np.zeros(len(second), dtype=np.int64)
+            u, v = _unit(first["x"]), _unit(second["x"])
+            for x in range(0, len(u), SQUARE):
+                for y in range(0, len(v), SQUARE):
+                    p, q = slice(x, x + SQUARE), slice(y, y + SQUARE)
+                    near = (u[p] @ v[q].T >= threshold) & (first["id"][p][:, None] != second["id"][q][None, :])
+                    counts[0][p] += near @ second["w"][q]
+                    if not same:
+                        counts[1][q] += first["w"][p] @ near
+            out = [(first["id"], counts[0])] + ([] if same else [(second["id"], counts[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], names=["id", "links"])
 
     return deal(cell).mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """One row a vector: vec_id long, n_links long, component_id long, kept boolean."""
+def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:
+    """One row a vector: vec_id long, n_links long, component_id long, kept boolean.  ``report`` takes
+    the rounds, the audited recall and the number of vertices it rests on."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     dim = dimension(rows, "vec")
     valid = usable(rows, "vec", dim) & F.col("vec_id").isNotNull() if dim else F.lit(False)
@@ -305,11 +345,19 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     if not n:
         return alone
     graph = _Graph(reps, dim, n, threshold)
-    for round_no in range(MOST_ROUNDS):
+    for round_no in range(1, MOST_ROUNDS + 1):
         graph.refine()
+        if round_no == 1:
+            continue
         labels = components(graph.links())
-        if round_no and _audit(reps, labels, dim, n, threshold) >= RECALL:
+        recall, seen = _audit(reps, labels, dim, n, threshold)
+        if report is not None:
+            report.update(rounds=round_no, recall=recall, audited=seen)
+        if recall is None or recall >= RECALL:
             break
+        graph.more_trees(100 + round_no)
+    else:
+        raise RuntimeError(f"links are incomplete after {MOST_ROUNDS} rounds: audited recall {recall} over {seen} vertices")
     per_rep = reps.select("id", "w", "vec").join(labels.select(F.col("v").alias("id"), "component"), "id", "left").join(_counted(reps, labels, dim, threshold), "id", "left")
     per_rep = per_rep.select("vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     linked = rows.where(valid).join(per_rep, "vec").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
