@@ -14,7 +14,6 @@ claimed); rows with null language are never learnt from; with no usable training
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,14 @@ from ._common import crc_bucket, small_batches, widened
 ROWS, DIM, PASSES, STEP = 3_000, 1 << 15, 6, 16
 #: Step size and penalties of the leader.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-5
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
+def has_letter(text: str) -> bool:
+    """Is a character of a category L* in the text (``isalpha`` of one character says so)?"""
+    return any(map(str.isalpha, text))
+
+
 def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(cells, counts) of the n-grams of a text."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -62,7 +65,7 @@ class Model:
         return self.vector(at, count) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         z = self.logits(*cells(text)) / self.temperature
         p = np.exp(z - z.max())
@@ -88,8 +91,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Mode
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
     weights = np.zeros((DIM + 1, k))
     for _ in range(PASSES):
+        fit = rng.permutation(fit)  # a pass takes every row once
         for s in range(0, len(fit), STEP):
-            part = [own[i] for i in rng.permutation(fit)[:STEP]] if s else [own[i] for i in fit[:STEP]]
+            part = [own[i] for i in fit[s : s + STEP]]
             grad = np.zeros((DIM + 1, k))
             for at, x, y in part:
                 logit = x @ weights[at] + weights[DIM]
@@ -128,13 +132,13 @@ def fit(docs: DataFrame, allowed, rows: int = ROWS) -> Model:
         return Model([], np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0), 1.0)
     quota = max(1, rows // len(counts))
     share = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1 << 20, int(quota / n * (1 << 20)) + 1))]), F.col("lang"))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).limit(2 * rows)
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, at, count = [], [], []
             for l, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if _LETTER.search(t):
+                if has_letter(t):
                     a, c = cells(t)
                     lang.append(l)
                     at.append(a.astype("<u2").tobytes())
