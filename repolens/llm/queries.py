@@ -55,7 +55,7 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_nbest import encode_nbest
 
-    return encode_nbest(table(spark, sf_dir, "documents"), n=4, ids=False)
+    return encode_nbest(table(spark, sf_dir, "documents"), n=4, ids=False, decoded=True)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

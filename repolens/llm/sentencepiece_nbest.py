@@ -14,8 +14,10 @@ once a worker (many at a time, by array operations) for its best path and that l
 A-star runs on the lattice of those n - 1 chunks alone.  A model with pieces across marks is
 searched as one lattice.
 
-Equal scores: the path that loses in the earlier chunk, then the one with the longer last piece,
-comes first.  Null and empty texts have one path, of no piece, with score 0; a text with fewer than
+Equal scores: the path that loses in the earlier chunk, then the one with the longer piece where two
+paths of a chunk part (seen from its end), comes first.  The scores are the model file's: those of a
+BPE model are merge ranks, no log-likelihoods, so its best path here is the best sum of ranks and not
+the one that the merges give.  Null and empty texts have one path, of no piece, with score 0; a text with fewer than
 n paths has them all; other columns are not read; repeated rows are rows of their own.
 """
 
@@ -52,6 +54,8 @@ class Pieces:
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte.items()}
+        self.is_byte = np.zeros(n, dtype=bool)
+        self.is_byte[list(self.bytes_of)] = True
         self.unknown = sp.unk_id()
         self.piece = {self.text[i]: (i, sp.get_score(i)) for i in usual}
         self.single = {p for p in self.piece if len(p) == 1}
@@ -76,25 +80,41 @@ class Pieces:
             h = (h * int(_STEP) + ord(c) + 1) & (1 << 64) - 1
         return h ^ h >> 32
 
+    def into(self, text: str, e: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """Edges (start, score, ids) into place ``e`` of the lattice, longest first."""
+        piece, out = self.piece, []
+        for s in range(max(0, e - self.longest), e):
+            if (p := piece.get(text[s:e])) is not None:
+                out.append((s, p[1], (p[0],)))
+        if not out or out[-1][0] != e - 1:
+            raw = text[e - 1].encode("utf-8", "surrogatepass")
+            out.append((e - 1, self.other, tuple(self.byte.get(b, self.unknown) for b in raw) if self.byte else (self.unknown,)))
+        return out
+
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Edges (start, score, ids) into each place of the lattice, longest first."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
+        """The edges into each place of the lattice."""
+        return [[], *(self.into(text, e) for e in range(1, len(text) + 1))]
+
+    def forward(self, text: str) -> np.ndarray:
+        """Viterbi: the best score up to every place."""
+        best, piece, longest, other = [0.0] * (len(text) + 1), self.piece, self.longest, self.other
         for e in range(1, len(text) + 1):
-            for s in range(max(0, e - self.longest), e):
-                if (p := self.piece.get(text[s:e])) is not None:
-                    into[e].append((s, p[1], (p[0],)))
-            if not any(s == e - 1 for s, _, _ in into[e]):
-                raw = text[e - 1].encode("utf-8", "surrogatepass")
-                into[e].append((e - 1, self.other, tuple(self.byte.get(b, self.unknown) for b in raw) if self.byte else (self.unknown,)))
-        return into
+            top, last = -np.inf, None
+            for s in range(max(0, e - longest), e):
+                last = piece.get(text[s:e])
+                if last is not None and (x := best[s] + last[1]) > top:
+                    top = x
+            best[e] = max(top, best[e - 1] + other) if last is None else top
+        return np.array(best)
 
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of one lattice: forward Viterbi, then backward A-star."""
-        into = self.edges(text)
-        best = [0.0] + [-np.inf] * len(text)
-        for e in range(1, len(text) + 1):
-            best[e] = max(best[s] + x for s, x, _ in into[e])
-        queue: list = [(-best[-1], 0, len(text), 0.0, None)]
+        """The n best (score, ids) of one lattice: forward Viterbi, then backward A-star.  Equal scores:
+        the path with the longer piece where the two part, seen from the end.
+
+        The heuristic is exact and each entry of the queue stands for paths of its own, so more entries
+        than paths that are still wanted are never needed: memory doesn't grow with the search."""
+        best = self.forward(text)
+        queue: list = [(-float(best[-1]), 0, len(text), 0.0, None)]
         out, count = [], 0
         while queue and len(out) < n:
             _, _, at, behind, tail = heapq.heappop(queue)
@@ -105,9 +125,11 @@ class Pieces:
                     tail = tail[1]
                 out.append((behind, tuple(ids)))
                 continue
-            for s, x, ids in into[at]:
-                count += 1
-                heapq.heappush(queue, (-(best[s] + x + behind), count, s, x + behind, (ids, tail)))
+            for s, x, ids in reversed(self.into(text, at)):
+                count -= 1  # of equal scores the one pushed last goes on
+                heapq.heappush(queue, (-(float(best[s]) + x + behind), count, s, x + behind, (ids, tail)))
+            if len(queue) > n - len(out):
+                queue = heapq.nsmallest(n - len(out), queue)
         return out
 
     def solve(self, chunks: list[str]) -> None:
@@ -225,6 +247,9 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces; runs of byte pieces are UTF-8 (bad bytes become U+FFFD)."""
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.text.__getitem__, ids.tolist())).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
         for i in ids.tolist():
             if i in self.bytes_of:
@@ -253,9 +278,10 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_nbest(docs: DataFrame, n: int = BEST, path: str | None = None, ids: bool = True) -> DataFrame:
+def encode_nbest(docs: DataFrame, n: int = BEST, path: str | None = None, ids: bool = True, decoded: bool = False) -> DataFrame:
     """doc_id, rank int (from 1), score double, n_pieces long, ids_crc32 long and, with ``ids``,
-    ids array<int>: the n best segmentations of each document."""
+    ids array<int>: the n best segmentations of each document.  With ``decoded`` also text_crc32
+    long, of the UTF-8 bytes of what the ids decode to, and same_text boolean."""
     small_batches(docs.sparkSession)
     path = path or default_path()
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -271,10 +297,15 @@ def encode_nbest(docs: DataFrame, n: int = BEST, path: str | None = None, ids: b
                 cols = [b.column("doc_id").take(row), pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.float64()), pa.array([len(f[2]) // 4 for f in flat], pa.int64()), pa.array([zlib.crc32(f[2]) for f in flat], pa.int64())]
                 if ids:
                     cols.append(pa.array([np.frombuffer(f[2], "<u4").astype(np.int32) for f in flat], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "ids"][: len(cols)])
+                if decoded:
+                    back = [model.decode(np.frombuffer(f[2], "<u4")) for f in flat]
+                    cols.append(pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back], pa.int64()))
+                    cols.append(pa.array([t == (texts[i] or "") for t, i in zip(back, row.to_pylist(), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", *["ids"] * ids, *["text_crc32", "same_text"] * decoded]
     key = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {key}, rank int, score double, n_pieces long, ids_crc32 long" + ", ids array<int>" * ids)
+    return own.mapInArrow(run, f"doc_id {key}, rank int, score double, n_pieces long, ids_crc32 long" + ", ids array<int>" * ids + ", text_crc32 long, same_text boolean" * decoded)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
