@@ -53,7 +53,8 @@ from .shingles import shingle_hashes
 THRESHOLD, GROUP = (3, 4), 32
 #: Further spare segments, as a share of H + 1, so that sets may have some in large groups; sets of a block.
 SPARE, BLOCK = 0.12, 512
-_HEAD = np.dtype([("fp", "<u8"), ("size", "<u4"), ("room", "<i4"), ("band", "<u2"), ("n", "<u4")])
+#: A set's signatures in one bucket: n of them, 255 at most; a room beyond its field only lets more pairs through to be verified.
+_HEAD = np.dtype([("fp", "<u8"), ("room", "<i2"), ("band", "u1"), ("n", "u1")])
 
 
 def band_of(size: int) -> int:
@@ -130,9 +131,11 @@ def signatures(sets: list[np.ndarray], fps: np.ndarray, n: int) -> list[tuple[in
         part = range_bucket(sig, n)
         order = np.lexsort((d, part))
         d, sig, part = d[order], sig[order], part[order]
-        at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])])
+        new = np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])]
+        start = np.flatnonzero(new)
+        at = np.flatnonzero(new | ((np.arange(len(d)) - start[np.cumsum(new) - 1]) % 255 == 0))
         head = np.zeros(len(at), dtype=_HEAD)
-        head["fp"], head["size"], head["room"], head["band"] = np.array([o[0] for o in own], dtype=np.uint64)[d[at]], sizes[d[at]], room[d[at]], bands[d[at]]
+        head["fp"], head["room"], head["band"] = np.array([o[0] for o in own], dtype=np.uint64)[d[at]], np.clip(room[d[at]], -32_768, 32_767), bands[d[at]]
         head["n"] = np.diff(np.r_[at, len(d)])
         low = np.ascontiguousarray(sig).view("<u2").reshape(-1, 4)[:, :3]
         for b in np.unique(part):
@@ -180,9 +183,6 @@ def grouped(heads: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not left:
         return np.zeros(0, dtype=_PAIR), hot
     x, y = np.concatenate(left), np.concatenate(right)
-    lengths = np.stack([heads["size"][row[x]], heads["size"][row[y]]]).astype(np.int64)
-    fits = lengths.min(axis=0) * THRESHOLD[1] >= lengths.max(axis=0) * THRESHOLD[0]
-    x, y = x[fits], y[fits]
     pairs = np.zeros(len(x), dtype=_PAIR)
     pairs["a"], pairs["b"], pairs["band"] = fp[x], fp[y], heads["band"][row[x]]
     pairs["room"] = np.maximum(heads["room"][row[x]], heads["room"][row[y]])
@@ -191,24 +191,39 @@ def grouped(heads: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pairs, hot
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """(a, b) of the pairs whose sets reach the threshold."""
-    home = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    guests = pairs.select("a", home("b").alias("bucket")).distinct().join(sets.select(F.col("fp").alias("a"), "elements"), "a").select("bucket", F.lit(1).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "elements")
-    hosts = sets.select(home("fp").alias("bucket"), F.lit(0).alias("kind"), F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
-    asks = pairs.select(home("b").alias("bucket"), F.lit(2).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements"))
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(bucket, a, elements) of the texts of ``wanted`` (fp, row_key, buckets), once for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            out: list[tuple] = []
+            for fp, buckets, text in zip(*(b.column(c).to_pylist() for c in ("fp", "buckets", "text")), strict=True):
+                elements = np.unique(shingle_hashes(words.hashes(word_bytes(text)))).tobytes()
+                out += [(k, fp, elements) for k in buckets]
+            for s in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*out[s : s + 512], strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "a", "elements"])
+
+    return docs.join(lookup_table(wanted, "buckets", 8), "row_key").select("fp", "buckets", "text").mapInArrow(run, "bucket int, a long, elements binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(a, b) of the pairs whose sets reach the threshold.  A set goes once to each task that needs it."""
+    home = F.pmod(F.xxhash64("b"), F.lit(n)).cast("int")
+    needs = pairs.select(F.col("b").alias("fp"), home.alias("bucket")).union(pairs.select("a", home)).groupBy("fp").agg(F.collect_set("bucket").alias("buckets"))  # n at most
+    sets = _sets(docs, needs.join(reps, "fp").select("fp", "row_key", "buckets"), n).select("*", F.lit(None).cast("long").alias("b"))
+    asks = pairs.select(home.alias("bucket"), "a", F.lit(None).cast("binary").alias("elements"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         todo: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            ask = np.flatnonzero(kind == 2)
-            a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
+            ask = b.column("b").is_valid().to_numpy(zero_copy_only=False)
+            a, c, blobs = b.column("a").to_numpy(), b.column("b").fill_null(0).to_numpy(), b.column("elements")
             todo.append((a[ask], c[ask]))
-            blobs = b.column("elements")
-            for i in np.flatnonzero(kind != 2):
-                known[int(a[i])] = np.frombuffer(blobs[int(i)].as_py(), dtype="<u8")
+            for i in np.flatnonzero(~ask).tolist():
+                if int(a[i]) not in known:
+                    known[int(a[i])] = np.frombuffer(blobs[i].as_py(), dtype="<u8")
         for a, b in todo:
             good = np.zeros(len(a), dtype=bool)
             for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
@@ -219,19 +234,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
                     good[i] = both * THRESHOLD[1] >= (len(p) + len(q) - both) * THRESHOLD[0]
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return deal(hosts.union(guests).union(asks)).mapInArrow(run, "a long, b long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, elements) of one document for each wanted fingerprint (doc_id, fp)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            sets = [np.unique(shingle_hashes(words.hashes(word_bytes(t)))).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], names=["fp", "elements"])
-
-    return stored(docs.join(lookup_table(wanted), "row_key").select("fp", "text").mapInArrow(run, "fp long, elements binary").dropDuplicates(["fp"]))
+    return deal(sets.unionByName(asks), n).mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +244,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
+    n = partitions(spark, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -261,7 +264,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     names = ["doc_id", "row_key", "n_shingles", "fp", "bucket", "heads", "low"]
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    first = deal(all_docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"))
+    first = deal(all_docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"), n)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, low = [], []
         for b in batches:
@@ -299,16 +303,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = stored(shared.where(enough).select("a", "b").distinct())
     reps = rows.groupBy("fp").agg(F.min("row_key").alias("row_key"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
-        return stored(_verified(pairs, _sets(all_docs, wanted), n))
-
-    found = verified(pairs)
+    found = stored(_verified(pairs, all_docs, reps, n))
     poor = often.where("hot > room").select("fp", "band")
     labels = components(found)
     again = stored(poor.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "band", F.coalesce("component", "fp").alias("component")))
     if again.limit(1).count():
-        sets = _sets(all_docs, again.select("fp").distinct().join(reps, "fp"))
+        wanted = again.select("fp").distinct().join(reps, "fp").withColumn("buckets", F.array(F.lit(0)))
+        sets = stored(_sets(all_docs, wanted, n).select(F.col("a").alias("fp"), "elements").dropDuplicates(["fp"]))
         found = stored(found.union(_between(again.join(sets, "fp"), n)))
     return rows, found
 
@@ -359,7 +360,7 @@ def _between(poor: DataFrame, n: int) -> DataFrame:
                     out.append((int(fp[p]), int(fp[q])))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return deal(cells).mapInArrow(run, "a long, b long")
+    return deal(cells, n).mapInArrow(run, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
