@@ -12,18 +12,36 @@ LANGUAGES = {
 }
 #: Path rules of each kind, first kind first.
 RISK_RULES = {
-    "secret": ("**/.env", "**/.env.*", "**/*.pem", "**/*.key", "**/*.p12", "**/*.pfx", "**/id_rsa*", "**/id_ed25519*", "**/.npmrc", "**/.netrc", "**/credentials*", "**/secrets.*"),
-    "generated": ("**/dist/**", "**/build/**", "**/out/**", "**/coverage/**", "**/*.min.js", "**/*.gen.*", "**/*.generated.*", "**/*.lock", "**/package-lock.json", "**/*.snap", "**/__generated__/**", "**/*.pb.*", "**/*.map"),
+    "secret": (
+        "**/.env", "**/.env.*", "**/*.pem", "**/*.key", "**/*_rsa*", "**/*.p12", "**/*.pfx", "**/credentials*", "**/secrets*", "**/secret*",
+        "**/.npmrc", "**/.netrc", "**/*.tfvars", "**/service-account*.json", "**/.aws/**",
+    ),
+    "generated": (
+        "**/dist/**", "**/build/**", "**/target/**", "**/out/**", "**/.next/**", "**/coverage/**", "**/*.gen.*", "**/*_generated.*",
+        "**/*.min.js", "**/*.min.css", "**/*.snap", "**/package-lock.json", "**/pnpm-lock.yaml", "**/yarn.lock", "**/Cargo.lock", "**/*.map",
+    ),
     "vendor": ("**/vendor/**", "**/third_party/**", "**/node_modules/**"),
-    "infra": ("**/Dockerfile*", "**/docker-compose*", "**/.github/**", "**/*.tf", "**/k8s/**", "**/helm/**", "**/migrations/**", "**/Jenkinsfile", "**/.gitlab-ci.yml", "**/terraform/**"),
-}
+    "infra": (
+        "**/Dockerfile*", "**/docker-compose*", "**/*.tf", "**/terraform/**", "**/k8s/**", "**/kubernetes/**", "**/helm/**", "**/.github/workflows/**",
+        "**/.gitlab-ci*", "**/Jenkinsfile*", "**/*migration*/**", "**/migrations/**", "**/Procfile", "**/*.sql",
+    ),
+}
 
 
 def glob_to_regex(glob: str) -> str:
-    """``**`` spans folders, ``*`` and ``?`` stay within one; dot files match as well."""
-    out, i = "", 0
+    """``**`` spans folders, ``*`` and ``?`` stay within one; dot files match as well.  Sets ``[abc]``,
+    ``[!abc]`` and alternatives ``{a,b}`` are those of shells."""
+    out, i, open_braces = "", 0, 0
     while i < len(glob):
-        if glob.startswith("**/", i):
+        if glob[i] == "[" and (end := glob.find("]", i + 2)) > 0:
+            inner = glob[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + ("[^/" + inner[1:] if inner[0] in "!^" else "[" + inner) + "]", end + 1
+        elif glob[i] == "{" and glob.find("}", i) > 0:
+            out, i, open_braces = out + "(?:", i + 1, open_braces + 1
+        elif open_braces and glob[i] in ",}":
+            out, open_braces = out + ("|" if glob[i] == "," else ")"), open_braces - (glob[i] == "}")
+            i += 1
+        elif glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
@@ -69,8 +87,15 @@ def edit_verdict(path: Column, record_risk: Column, globs=()) -> Column:
     return F.when(risk == "secret", "severe").when(risk.isin("generated", "vendor", "infra", "risky"), "destructive")
 
 
+def read_warning(risk: Column, lines: Column, reads: Column) -> Column:
+    """Why reading a file as a whole is little use: low-value, huge, repeated, else null."""
+    return F.when(risk.isin("generated", "vendor"), "low-value").when(lines > 3000, "huge").when(reads >= 2, "repeated")
+
+
 def decision(tier: Column, mode: str) -> Column:
     """What a hook answers to a verdict's tier."""
     if mode == "warn":
         return F.when(tier.isNotNull(), "warn")
+    if mode == "off":
+        return F.lit(None).cast("string")
     return F.when(tier == "severe", "deny").when(tier == "destructive", "ask").when(tier.isNotNull(), "warn")

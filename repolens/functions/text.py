@@ -54,42 +54,57 @@ def generic_damp(df: Column, n: Column) -> Column:
 
 
 def shannon_entropy(c: Column) -> Column:
-    """Bits a character; 0 for the empty string."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.length(c).cast("double")
-    share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
-    return F.when(F.length(c) == 0, 0.0).otherwise(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x))))
+    """Bits a character; 0 for the empty string.  A character's count is what the text loses with it."""
+    n = F.length(c)
+    share = lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n
+    chars = F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(chars, F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x))))
 
 
+REDACTED = "[REDACTED]"
 #: Patterns of secrets that stand on their own, in the order of their use.
 TOKEN_PATTERNS = (
-    ("AKIA[0-9A-Z]{16}", "[REDACTED:aws-key]"),
-    ("gh[pousr]_[A-Za-z0-9]{36,}", "[REDACTED:github-token]"),
-    ("github_pat_[A-Za-z0-9_]{22,}", "[REDACTED:github-token]"),
-    ("[sr]k_(live|test)_[A-Za-z0-9]{16,}", "[REDACTED:stripe-key]"),
-    ("sk-[A-Za-z0-9_-]{20,}", "[REDACTED:api-key]"),
-    ("AIza[0-9A-Za-z_-]{35}", "[REDACTED:google-key]"),
-    ("xox[abprs]-[A-Za-z0-9-]{10,}", "[REDACTED:slack-token]"),
-    ("eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{4,}", "[REDACTED:jwt]"),
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*\z",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\bghp_[A-Za-z0-9]{36}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{22,}\b",
+    r"\bsk-[A-Za-z0-9_-]{20,}",
+    r"\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{10,}\b",
+    r"\bAIza[0-9A-Za-z_-]{35}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}",
+    r"\beyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
 )
-KEY_WORDS = "password|passwd|secret|token|api_key|apikey|key|credential"
+#: Schemes of addresses with credentials, and words of keys whose values are secret.
+URL_SCHEMES = r"postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|https?"
+VALUE_KEYS = "password|passwd|secret|token|api[_-]?key|access[_-]?key"
+ENV_KEYS = VALUE_KEYS + "|client[_-]?secret|private[_-]?key"
+#: Quoted stretches of this length without white space and with more bits a character are secrets.
+QUOTED, BITS = 20, 4.0
+_QUOTED = "\"[^'\"\\n]{%d,}\"|'[^'\"\\n]{%d,}'" % (QUOTED, QUOTED)
+
+
+def quoted_secrets(c: Column) -> Column:
+    """The quoted stretches (with their quotes) that look random: long, contiguous, of high entropy."""
+    body = lambda x: F.substring(x, 2, F.length(x) - 2)
+    return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(_QUOTED), F.lit(0)), lambda x: ~x.rlike(r"\s") & (shannon_entropy(body(x)) > BITS)))
 
 
 def redact(c: Column) -> Column:
-    """Secrets replaced by markers: PEM blocks, known token shapes, credentials in URLs, env lines,
-    quoted values of secret-looking keys.  Redacting twice changes nothing."""
-    c = F.regexp_replace(c, "-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(-----END [A-Z ]*PRIVATE KEY-----)?", "[REDACTED:private-key]")
-    for pattern, marker in TOKEN_PATTERNS:
-        c = F.regexp_replace(c, pattern, marker)
-    c = F.regexp_replace(c, "([a-z][a-z0-9+.-]*://)[^/@: \\n\\[]+:[^/@ \\n\\[]+@", "$1[REDACTED:userinfo]@")
-    c = F.regexp_replace(c, f"(?i)\\b((?:[A-Z0-9]+_)*(?:{KEY_WORDS}))( ?[:=] ?)\"[^\"\\n\\[]{{8,}}\"", '$1$2"[REDACTED:value]"')
-    return F.regexp_replace(c, f"(?i)\\b((?:[A-Z0-9]+_)*(?:{KEY_WORDS}))( ?[:=] ?)'[^'\\n\\[]{{8,}}'", "$1$2'[REDACTED:value]'")
-
-
-def high_entropy_quotes(c: Column, bits: float = 4.0, least: int = 20) -> Column:
-    """Quoted stretches of ``least`` characters or more, without white space, above ``bits``."""
-    found = F.regexp_extract_all(c, F.lit(f"[\"']([^\"'\\s]{{{least},}})[\"']"), F.lit(1))
-    return F.filter(found, lambda x: shannon_entropy(x) > bits)
+    """Secrets replaced by a marker: PEM blocks (an unterminated one to the end), known token shapes,
+    credentials in addresses, values of ``KEY=value`` lines and of quoted assignments to
+    secret-looking keys, quoted stretches of high entropy.  Redacting twice changes nothing; null
+    stays null.  Texts without any sign of a secret pass one test only."""
+    sign = F.coalesce(c.rlike(f"(?i)-----BEGIN|AKIA|gh[p]_|github_pat_|sk-|[sr]k_|AIza|xox|eyJ|://|{ENV_KEYS}|[\"'][^'\"\\s]{{{QUOTED}}}"), F.lit(False))
+    out = c
+    for pattern in TOKEN_PATTERNS:
+        out = F.regexp_replace(out, pattern, REDACTED)
+    out = F.regexp_replace(out, rf"(?i)\b((?:{URL_SCHEMES})://)[^\s:@/]+:[^\s@/]+@", f"$1{REDACTED}@")
+    out = F.regexp_replace(out, rf"(?im)^([A-Z][A-Z0-9_]*(?:{ENV_KEYS})[A-Z0-9_]*)=[^\s'\"]\S*", f"$1={REDACTED}")
+    for quote in "'\"":
+        out = F.regexp_replace(out, rf"(?i)({VALUE_KEYS})(\s*[:=]\s*){quote}[^'\"]{{8,}}{quote}", f"$1$2{quote}{REDACTED}{quote}")
+    out = F.aggregate(quoted_secrets(out), out, lambda a, x: F.replace(a, x, F.concat(F.substring(x, 1, 1), F.lit(REDACTED), F.substring(x, 1, 1))))
+    return F.when(sign, out).otherwise(c)
 
 
 def clean_query(c: Column) -> Column:
