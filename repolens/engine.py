@@ -203,7 +203,7 @@ class Engine:
         if kind == "calls":
             return calls.orderBy("file", "line")
         defs = self.symbols.where(F.col("name") == name).select("file", "line", F.lit("def").alias("role"), F.lit(None).cast("string").alias("caller"))
-        uses = self.contents.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("p", "s")).where(F.col("s").rlike(rf"(^|[^\w$]){name}([^\w$]|$)")).select("file", (F.col("p") + 1).cast("int").alias("line"))
+        uses = self.contents.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("p", "s")).where(F.col("s").rlike(rf"(^|[^\w$]){re.escape(name)}([^\w$]|$)")).select("file", (F.col("p") + 1).cast("int").alias("line"))
         uses = uses.join(defs.select("file", "line").union(calls.select("file", "line")).distinct(), ["file", "line"], "left_anti").select("file", "line", F.lit("use").alias("role"), F.lit(None).cast("string").alias("caller"))
         return defs.union(calls).union(uses).orderBy("file", "line", "role")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ def edges(df: DataFrame, src: str, dst: str) -> DataFrame:
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a checkpoint where the session has a folder for them (it survives a lost
+    executor and cuts the lineage), else in memory and on local disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def centrality(e: DataFrame) -> DataFrame:
     """(node, importers): in-degree over different edges."""
     return e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("importers"))
@@ -27,19 +35,20 @@ def fan(e: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def shortest_paths(e: DataFrame, start, goal, max_paths: int = 3, max_depth: int = 6) -> DataFrame:
+def shortest_paths(e: DataFrame, start, goal, max_paths: int = 3, max_depth: int | None = None) -> DataFrame:
     """(path, hops, rank): up to ``max_paths`` simple paths of the least length, in path order.  A
     level at a time, from ``start``; a level keeps only nodes that no shorter path reached, so the
-    walk stops at the first level that has the goal.  ``start == goal`` is the path of one node."""
+    walk stops at the first level that has the goal, or when a level is empty.  ``start == goal`` is
+    the path of one node; ``max_depth`` is a limit where one is wanted."""
     spark = e.sparkSession
-    kind, e = e.schema["src"].dataType.simpleString(), e.persist()  # every level joins the edges
+    kind, e = e.schema["src"].dataType.simpleString(), kept(e)  # every level joins the edges
     if start == goal:
         return spark.createDataFrame([([start], 0, 1)], f"path array<{kind}>, hops int, rank int")
     level = spark.createDataFrame([([start], start)], f"path array<{kind}>, node {kind}")
     seen = level.select("node")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = level.join(e, level.node == e.src).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"))
-        level = step.join(seen, "node", "left_anti").select("path", "node").persist()
+        level = kept(step.join(seen, "node", "left_anti").select("path", "node"))
         found = level.where(F.col("node") == F.lit(goal))
         if found.limit(1).count():
             hits = found.orderBy("path").limit(max_paths).select("path", F.lit(depth).alias("hops"))
@@ -50,15 +59,15 @@ def shortest_paths(e: DataFrame, start, goal, max_paths: int = 3, max_depth: int
     return spark.createDataFrame([], f"path array<{kind}>, hops int, rank int")
 
 
-def reachable(e: DataFrame, start, max_depth: int = 12) -> DataFrame:
+def reachable(e: DataFrame, start, max_depth: int | None = None) -> DataFrame:
     """(node, hops): nodes reachable from ``start`` (itself at 0), by the least number of edges.  A
     level at a time; the walk ends when a level is empty, and every level is joined with the edges
     once."""
-    kind, e = e.schema["src"].dataType.simpleString(), e.persist()  # every level joins the edges
+    kind, e = e.schema["src"].dataType.simpleString(), kept(e)  # every level joins the edges
     seen = e.sparkSession.createDataFrame([(start, 0)], f"node {kind}, hops int")
     level = seen.select("node")
-    for depth in range(1, max_depth + 1):
-        level = level.join(e, level.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").persist()
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        level = kept(level.join(e, level.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti"))
         if not level.limit(1).count():
             break
         seen = seen.union(level.withColumn("hops", F.lit(depth)))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +13,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def knn(df: DataFrame, key: str, vec: str, query: list[float], k: int) -> DataFrame:
     """(key, cos): the k rows nearest to one query vector; a top-k per task, never a full sort."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return df.select(key, dot(F.col(vec), q).alias("cos")).orderBy(F.desc("cos"), key).limit(k)
+    return cosines(df, key, vec, query).orderBy(F.desc("cos"), key).limit(k)
 
 
 def group_best(df: DataFrame, group: str, key: str, vec: str, query: list[float]) -> DataFrame:
@@ -33,31 +28,21 @@ def stats(df: DataFrame, key: str, group: str, vec: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.countDistinct(group).alias("n_groups"), F.min(F.size(vec)).alias("dim"), (F.min(F.size(vec)) == F.max(F.size(vec))).alias("consistent"))
 
 
+def fnv1a(word: Column) -> Column:
+    """32-bit FNV-1a hash of a word of ASCII letters and digits."""
+    return F.aggregate(F.filter(F.split(word, ""), lambda x: x != ""), F.lit(2166136261), lambda h, x: (h.bitwiseXOR(F.ascii(x)) * 16777619).bitwiseAND(0xFFFFFFFF))
+
+
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Counts of FNV-1a-hashed words, scaled to length 1; an offline stand-in for a model."""
-
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        known: dict[str, int] = {}
-
-        def bucket(word: str) -> int:
-            if word not in known:
-                h = 2166136261
-                for b in word.encode():
-                    h = (h ^ b) * 16777619 & 0xFFFFFFFF
-                known[word] = h % dim
-            return known[word]
-
-        for s in parts:
-            out = []
-            for t in s:
-                v = np.bincount([bucket(w) for w in re.split("[^a-z0-9]+", (t or "").lower()) if w], minlength=dim).astype(float)
-                n = np.sqrt((v * v).sum())
-                out.append((v / n if n else v).tolist())
-            if len(known) > 500_000:
-                known.clear()
-            yield pd.Series(out)
-
-    return run(text)
+    """Counts of FNV-1a-hashed words, scaled to length 1; an offline stand-in for a model.  A text
+    without words (or null) is the zero vector."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    cells = F.transform(words, lambda w: F.pmod(fnv1a(w), F.lit(dim)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+
+
+def cosines(df: DataFrame, key: str, vec: str, query: list[float]) -> DataFrame:
+    """(key, cos) of every row with one query vector, in no order."""
+    return df.select(key, dot(F.col(vec), F.array(*[F.lit(float(x)) for x in query])).alias("cos"))

@@ -10,14 +10,12 @@ from ._register import read, registry
 
 QUERIES, ORACLES, query = registry()
 
-_E = """e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
- WHERE l_quantity >= 50 AND l_discount >= 0.1 AND s_nationkey <> c_nationkey)"""
+_E = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = read(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_suppkey", "l_orderkey")
-    joined = item.join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return g.edges(joined, "s_nationkey", "c_nationkey")
+    """Parts import their suppliers, whose keys are keys of parts as well: sparse over all rows."""
+    return g.edges(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
 @query("dep_edges", f"WITH {_E} SELECT * FROM e")
@@ -40,18 +38,21 @@ def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.fan(_edges(spark, sf_dir))
 
 
-@query("shortest_paths", f"""WITH RECURSIVE {_E}, w(path, node, hops) AS (SELECT [3], 3, 0 UNION ALL SELECT list_append(path, e.dst), e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 4 AND NOT list_contains(path, e.dst) AND w.node <> 17)
- SELECT path, hops, row_number() OVER (ORDER BY path)::int AS rank FROM w WHERE node = 17 AND hops = (SELECT min(hops) FROM w WHERE node = 17) QUALIFY rank <= 3""")
+@query("shortest_paths", f"""WITH RECURSIVE {_E}, w(path, node, hops) AS (SELECT [3::bigint], 3::bigint, 0 UNION ALL SELECT list_append(path, e.dst), e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 7 AND NOT list_contains(path, e.dst) AND w.node <> 7)
+ SELECT path, hops, row_number() OVER (ORDER BY path)::int AS rank FROM w WHERE node = 7 AND hops = (SELECT min(hops) FROM w WHERE node = 7) QUALIFY rank <= 3""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.shortest_paths(_edges(spark, sf_dir), 3, 17, 3, 4)
+    return g.shortest_paths(_edges(spark, sf_dir), 3, 7, 3)
 
 
-@query("reachable_set", f"WITH RECURSIVE {_E}, w(node, hops) AS (SELECT 3, 0 UNION SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 12) SELECT node, min(hops)::int AS hops FROM w GROUP BY node")
+@query("reachable_set", f"WITH RECURSIVE {_E}, w(node, hops) AS (SELECT 3::bigint, 0 UNION SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 40) SELECT node, min(hops)::int AS hops FROM w GROUP BY node")
 def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.reachable(_edges(spark, sf_dir), 3)
 
 
-@query("call_chain")
+@query("call_chain", """WITH RECURSIVE c AS (SELECT (p_partkey - 2) // 8 + 1 AS caller, p_partkey AS callee, row_number() OVER (PARTITION BY (p_partkey - 2) // 8 ORDER BY p_partkey) AS rn FROM part WHERE p_partkey >= 2),
+ w(path, depth, caller, callee) AS (SELECT [rn], 1, caller, callee FROM c WHERE caller = 1 AND rn <= 6 UNION ALL SELECT list_append(path, c.rn), depth + 1, c.caller, c.callee FROM w JOIN c ON c.caller = w.callee WHERE depth < 3 AND c.rn <= 6)
+ SELECT (row_number() OVER (ORDER BY path) - 1)::int AS ord, depth, caller::varchar AS caller, callee::varchar AS callee FROM w""")
 def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _edges(spark, sf_dir).select(F.col("src").cast("string").alias("caller"), F.col("dst").cast("string").alias("callee"), F.col("dst").alias("ord"))
-    return g.call_chain(calls, "3")
+    """Parts as a tree: part k is called by part (k - 2) div 8 + 1, and a node shows six of its eight."""
+    own = read(spark, sf_dir, "part").where("p_partkey >= 2")
+    return g.call_chain(own.select(F.expr("cast((p_partkey - 2) div 8 + 1 AS string)").alias("caller"), F.col("p_partkey").cast("string").alias("callee"), F.col("p_partkey").alias("ord")), "1")

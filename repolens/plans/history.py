@@ -74,7 +74,8 @@ def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.reusable(docs, emb, ["doc_id"]).withColumn("reused", F.lit(True)).union(m.to_compute(docs, emb, ["doc_id"]).withColumn("reused", F.lit(False)))
 
 
-@query("pending_queue", "SELECT user_id, min(ts) AS since FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")
+@query("pending_queue", "WITH q AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS f, ts, event_type FROM events WHERE user_id IS NOT NULL) SELECT f, min(ts) AS since FROM q WHERE f NOT IN (SELECT f FROM q WHERE event_type = 'purchase') GROUP BY f")
 def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read(spark, sf_dir, "events")
-    return m.survivors(m.pending(ev, "user_id", "ts"), ev.where("event_type = 'purchase'"), "user_id")
+    """Days of users, queued at their first event and done with a purchase."""
+    ev = read(spark, sf_dir, "events").withColumn("f", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
+    return m.survivors(m.pending(ev, "f", "ts"), ev.where("event_type = 'purchase'"), "f")

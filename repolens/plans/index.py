@@ -40,7 +40,7 @@ def file_records(files: DataFrame, rows: DataFrame) -> DataFrame:
     """One record a file: hash, lines, language, kind, exports (30), external packages (15), headings (10)."""
     risk = classify.risk_kind(F.col("path"))
     text = F.col("content").cast("string")
-    binary = F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 == 1
+    binary = F.expr("position(X'00', substring(content, 1, 8192)) > 0")
     base = files.select(
         "path", F.when(F.coalesce(risk, F.lit("")) == "secret", "").otherwise(F.substring(F.sha1("content"), 1, 12)).alias("h"), "mtime", "size",
         F.when(F.length("content") == 0, 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("lines"), classify.language_of(F.col("path")).alias("lang"),

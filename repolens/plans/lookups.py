@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier
@@ -106,4 +106,8 @@ def callee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("commands_by_kind", "SELECT event_type AS kind, count(*) AS n, list_sort(list(DISTINCT user_id))[1:15] AS first_users FROM events GROUP BY event_type")
 def commands_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("user_id")), 1, 15).alias("first_users"))
+    """Events of a kind and its first 15 users: different pairs are ranked, so no list is longer."""
+    ev = read(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "user_id")
+    pairs = ev.groupBy("kind", "user_id").agg(F.count("*").alias("n"))
+    first = pairs.where("user_id is not null").withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("user_id"))).where("rn <= 15").groupBy("kind").agg(F.sort_array(F.collect_list("user_id")).alias("first_users"))
+    return pairs.groupBy("kind").agg(F.sum("n").alias("n")).join(first, "kind", "left").select("kind", "n", F.coalesce("first_users", F.array().cast("array<bigint>")).alias("first_users"))

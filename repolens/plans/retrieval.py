@@ -88,7 +88,7 @@ _FUSED = f"""{_BM25}, lex AS (SELECT doc_id, score*100/max(score) OVER () AS lex
 @query("semantic_norm", f"""WITH cosines AS (SELECT vec_id, {_COS} AS cos FROM embeddings), cs AS (SELECT greatest(max(cos), 0) mx, avg(cos) mean FROM cosines)
  SELECT vec_id, round(greatest(0, least(1, (cos-mean)/greatest(0.01, mx-mean))), 6) AS semantic FROM cosines, cs""")
 def semantic_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cos = vectors.knn(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 1 << 30)
+    cos = vectors.cosines(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir))
     st = cos.agg(F.greatest(F.max("cos"), F.lit(0.0)).alias("mx"), F.avg("cos").alias("mean"))
     return cos.crossJoin(F.broadcast(st)).select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cos") - F.col("mean")) / F.greatest(F.lit(0.01), F.col("mx") - F.col("mean")))), 6).alias("semantic"))
 
@@ -152,6 +152,11 @@ def eval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.evaluation(hits, "grp")
 
 
-@query("stub_embedding")
+_FNV = "list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(w, ''), lambda x: ascii(x)::ubigint)), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
+
+
+@query("stub_embedding", f"""WITH h AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), lambda w: {_FNV} % 32) AS h FROM documents),
+ c AS (SELECT doc_id, list_transform(range(32), lambda i: len(list_filter(h, lambda x: x = i))::double) AS c FROM h)
+ SELECT doc_id, list_transform(c, lambda x: CASE WHEN list_sum(c) > 0 THEN x / sqrt(list_sum(list_transform(c, lambda y: y * y))) ELSE x END) AS embedding FROM c""")
 def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", vectors.hash_embedding(F.col("text"), 32).alias("embedding"))

@@ -1,8 +1,9 @@
-"""Queries whose results SQL can't express: shell guard, parsers, streaming state."""
+"""Queries that run in Python workers: shell guard, parsers, streaming state."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import guard
 from . import index
 from ._register import read, registry
+from .sessions import _STREAK
 
 QUERIES, ORACLES, query = registry()
 
@@ -20,32 +22,46 @@ COMMANDS = (
 )
 
 
-@query("guard_commands")
+#: What the rules say, in the commands' order.
+VERDICTS = (
+    ("severe", "secret-read"), ("severe", "env-exfil"), ("severe", "rm-critical"), ("destructive", "rm-rf"), ("severe", "force-push-protected"), ("destructive", "force-with-lease"), ("destructive", "git-reset-hard"), ("destructive", "git-clean"),
+    ("destructive", "git-checkout-dot"), ("destructive", "chmod-r"), ("destructive", "sql-drop"), ("destructive", "kubectl-delete"), ("destructive", "terraform-apply"), ("destructive", "docker-prune"), ("destructive", "dd"), ("inefficient", "broad-grep"), ("inefficient", "find-broad"), ("inefficient", "cat-generated"), ("inefficient", "ls-R"), ("destructive", "rm-rf"), None,
+)
+_VALUES = ", ".join(f"({i}, {'NULL, NULL' if v is None else repr(v)[1:-1]})" for i, v in enumerate(VERDICTS))
+
+
+@query("guard_commands", f"SELECT event_id, tier, rule FROM events JOIN (VALUES {_VALUES}) v(i, tier, rule) ON event_id % {len(COMMANDS)} = i")
 def guard_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = guard.worst_verdict(F.col("command"))
-    df = spark.createDataFrame([(c,) for c in COMMANDS], "command string").select("command", v.alias("v"))
-    return df.select("command", "v.tier", "v.rule")
+    """The gravest verdict of every event's command (one of the list, by id)."""
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", guard.worst_verdict(command).alias("v")).select("event_id", "v.tier", "v.rule")
 
 
-@query("parse_documents")
+# Sources of three languages, with the key in their names; and what the parsers find in them.
+_SOURCES = (
+    ("ts", "import { a# } from './m#'\nexport function f#(x: number) {\n  return g#(x)\n}\n", (("function", "f#", 2, True, None), ("import", "./m#", 1, False, None), ("call", "g#", 3, False, "f#"))),
+    ("py", "import os\nfrom .m# import a\n\ndef f#(x):\n    return g#(x)\n", (("function", "f#", 4, True, None), ("import", "os", 1, False, None), ("import", ".m#", 2, False, None), ("call", "g#", 5, False, "f#"))),
+    ("rs", "use crate::m#::a;\npub fn f#() { g#(); }\n", (("function", "f#", 2, True, None), ("import", "crate::m#::a", 1, False, None), ("call", "g#", 2, False, "f#"))),
+)
+_FOUND = ", ".join(f"({m}, '{end}', '{kind}', '{name}', {line}, {exported}, {'NULL' if parent is None else repr(parent)})" for m, (end, _, rows) in enumerate(_SOURCES) for kind, name, line, exported, parent in rows)
+
+
+@query("parse_documents", f"SELECT p_partkey || '.' || e AS file, kind, replace(name, '#', p_partkey::varchar) AS name, line, exported, replace(parent, '#', p_partkey::varchar) AS parent FROM part JOIN (VALUES {_FOUND}) v(m, e, kind, name, line, exported, parent) ON p_partkey % 3 = m")
 def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsers over whole documents, taken as TypeScript and Markdown files by id."""
-    docs = read(spark, sf_dir, "documents")
-    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise(".md")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return index.parsed(files).groupBy("kind").agg(F.count("*").alias("n"))
+    """The parsers over a source file for each part."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SOURCES]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    key = F.col("p_partkey").cast("string")
+    files = read(spark, sf_dir, "part").select(F.concat(key, F.lit("."), pick(0)).alias("path"), F.replace(pick(1), F.lit("#"), key).cast("binary").alias("content"))
+    return index.parsed(files).select("file", "kind", "name", "line", "exported", "parent")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"{_STREAK} SELECT user_id, streak, streak IN (3, 6) AS nudge FROM k")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed reads with their session's streak, equal to the batch operator's."""
-    from ..streaming.sessions import run_available, session_state
+    from ..streaming.sessions import write_available, session_state
 
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in {"view": "read", "click": "mcp", "purchase": "pack", "signup": "prompt", "error": "bash"}.items() for x in kv]), F.col("event_type"))
     schema = read(spark, sf_dir, "events").schema
     ev = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), kind.alias("e"))
-    name = f"stream_sessions_{abs(hash(sf_dir)) % 10**8}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-")
-    import uuid
-
-    run_available(session_state(ev), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}", name)
-    return spark.table(name).select(F.col("session").cast("long").alias("user_id"), "streak", "nudge")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="repolens-")  # a temporary folder in tests only
+    return write_available(session_state(ev), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}").select(F.col("session").cast("long").alias("user_id"), "streak", "nudge")

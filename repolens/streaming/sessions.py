@@ -65,7 +65,27 @@ def pending_sink(path: str):
 
 
 def run_available(stream: DataFrame, checkpoint: str, table: str, mode: str = "append"):
-    """Everything there is now, into a memory table."""
+    """Everything there is now, into a memory table: a look at a small stream (the driver holds it)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def write_available(stream: DataFrame, path: str) -> DataFrame:
+    """Everything there is now, written as Parquet under ``path`` (with the checkpoint beside it)."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def summaries_sink(path: str):
+    """foreachBatch body: sessions that a stop event of the batch ends are distilled anew from all their
+    events and replace what was written for them (a repeated batch writes the same)."""
+    from ..operators.sessions import distill
+
+    def run(df: DataFrame, epoch: int) -> None:
+        ended = df.where(F.col("e").isin("stop", "session-end")).select("session").distinct()
+        own = df.join(ended, "session", "left_semi")
+        distill(own, "session", "seq", "e", "text", "f").withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return run
