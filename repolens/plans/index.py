@@ -90,16 +90,28 @@ def tests_of(files: DataFrame, edges: DataFrame) -> DataFrame:
     return by_name.union(by_import).distinct()
 
 
-def build(files: DataFrame, aliases: list[tuple[str, str, str]] = (), packages: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
-    """All tables of an index over (path, content, size, mtime)."""
-    rows = parsed(files).persist()
-    records = file_records(files, rows)
-    edges = import_edges(rows, files, aliases, packages)
-    symbols = rows.where("kind not in ('import', 'call', 'field', 'heading')").select("file", "kind", "name", "line", "exported", "parent", "detail")
+#: Rows of the parsers from which edges are resolved.
+IMPORT_ROWS = "kind = 'import' OR kind = 'module'"
+
+
+def postings_of(symbols: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "file", "line", "name")
+    return lookup.inverted_index(symbols.withColumn("key", key), "key", F.concat(F.array(F.lower("name")), split_identifier(F.col("name"))))
+
+
+def tables_of(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables that each file gives by itself, from the parsers' rows."""
+    symbols = rows.where("kind not in ('import', 'call', 'field', 'heading')").select("file", "kind", "name", "line", "exported", "parent", "detail")
     return {
-        "files": records, "symbols": symbols, "edges": edges, "tests": tests_of(records, edges),
+        "files": file_records(files, rows), "symbols": symbols, "postings": postings_of(symbols),
         "calls": rows.where("kind = 'call'").select("file", F.col("name").alias("callee"), "line", F.col("parent").alias("caller")),
         "fieldaccess": rows.where("kind = 'field'").select("file", F.col("name").alias("field"), "line", F.col("detail").alias("kind"), F.col("parent").alias("caller")),
-        "postings": lookup.inverted_index(symbols.withColumn("key", key), "key", F.concat(F.array(F.lower("name")), split_identifier(F.col("name")))),
     }
+
+
+def build(files: DataFrame, aliases: list[tuple[str, str, str]] = (), packages: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+    """All tables of an index over (path, content, size, mtime)."""
+    rows = graph.kept(parsed(files))
+    tables = tables_of(files, rows)
+    edges = import_edges(rows, files, aliases, packages)
+    return tables | {"edges": edges, "tests": tests_of(tables["files"], edges)}
