@@ -12,6 +12,9 @@ uses the same rules:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -122,6 +125,35 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system (where the C library can): Python workers are used again by
+    later stages, and what one of them needed at its peak isn't kept by all."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Note that this worker holds a memory of ``owner`` between tasks, and how it is given up."""
+    _kept[owner] = clear
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that gives up what other owners' tasks kept in the worker, and
+    releases its own memory at the end."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _kept if k != owner]:
+            _kept.pop(other)()
+        yield from run(batches)
+        release()
+
+    return body
+
+
 def crc_bucket(column: str, m: int):
     """crc32 of the value written as text, modulo ``m``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(m))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, deal, mix64, partitions, range_bucket
+from ._common import by_bucket, deal, lean, mix64, partitions, range_bucket
 from .vectors import dimension, matrix, usable
 
 SAMPLE, BRANCH, LEAF, CELL = 16_384, 16, 400, 2_048
@@ -149,7 +149,7 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
             s = slice(at, at + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(h["q"][s]), pa.array(rank[s].astype(np.int32)), pa.array(h["id"][s]), pa.array(h["s"][s])], names=["query_id", "rank", "vec_id", "score"])
 
-    return deal(parts).mapInArrow(run, "query_id long, rank int, vec_id long, score double")
+    return deal(parts).mapInArrow(lean(run), "query_id long, rank int, vec_id long, score double")
 
 
 def brute_force(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, dim: int) -> DataFrame:
@@ -165,7 +165,7 @@ def brute_force(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int,
                 for bucket, at in by_bucket(range_bucket(mix64(hits["q"]), n), n):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([hits[at].tobytes()], pa.binary())], names=["bucket", "hits"])
 
-    return _merged(rows.mapInArrow(run, "bucket int, hits binary"), k)
+    return _merged(rows.mapInArrow(lean(run), "bucket int, hits binary"), k)
 
 
 def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, audit: bool = False):
@@ -196,7 +196,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.leaves_of(matrix(b.column("vec"), dim)), pa.int32())], names=[*b.schema.names, "leaf"])
 
-    placed = rows.mapInArrow(place, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, is_query boolean, leaf int")
+    placed = rows.mapInArrow(lean(place), f"id long, vec {rows.schema['vec'].dataType.simpleString()}, is_query boolean, leaf int")
     counts = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one number a leaf
     qid, q = np.array([r.id for r in seeds], dtype=np.int64), np.array([r.vec for r in seeds], dtype=np.float64)
     _, first = np.unique(qid, return_index=True)
@@ -268,5 +268,5 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([h[at].tobytes()], pa.binary())], names=["bucket", "hits"])
 
     single = "array<float>" in rows.schema.simpleString()
-    result = _merged(deal(placed.mapInArrow(emit, "bucket int, kind byte, blob binary")).mapInArrow(meet, "bucket int, hits binary"), k)
+    result = _merged(deal(placed.mapInArrow(lean(emit), "bucket int, kind byte, blob binary")).mapInArrow(lean(meet), "bucket int, hits binary"), k)
     return (result, reached, visited, tree.n) if audit else result

@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from ._common import keeps
+
 #: Entries after which the pre-token memory starts anew.
 CACHED = 1_000_000
 #: Longer pre-tokens are not remembered.
@@ -95,12 +97,18 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file, one per Python worker."""
+    """The encoder of a tokenizer file, one per Python worker, until a task of another kind comes."""
+    keeps("encoder", _open.clear)
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this process."""
+    _open.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, small_batches, widened
+from ._common import crc_bucket, lean, small_batches, widened
 
 #: Training rows at most, cells of the hashed feature space, passes, rows of a step.
 ROWS, DIM, PASSES, STEP = 3_000, 1 << 15, 6, 16
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, allowed, rows: int = ROWS) -> Model:
                     count.append(c.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(at, pa.binary()), pa.array(count, pa.binary())], names=["lang", "at", "n"])
 
-    got = sample.mapInArrow(run, "lang string, at binary, n binary").collect()
+    got = sample.mapInArrow(lean(run), "lang string, at binary, n binary").collect()
     if not got:
         return Model([], np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0), 1.0)
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def language(docs: DataFrame, held_out_of: int = 3, held_out: int = 1, rows: int = ROWS) -> DataFrame:

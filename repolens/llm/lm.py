@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, crc_bucket, deal, dropped, mix64, partitions, range_bucket, small_batches, stored, word_bytes
+from ._common import by_bucket, crc_bucket, deal, dropped, lean, mix64, partitions, range_bucket, small_batches, stored, word_bytes
 
 FILTER_BITS, FREQUENT = 1 << 29, 1 << 20
 #: Membership hashes of a key and bits a key; base of the quantisation.
 PROBES, BITS, BASE = 5, 10, 1.5
 #: The weights are fitted on every EVERY-th training token; steps of a ratio's logarithm; no ratio.
 EVERY, ODDS, NONE = 32, 16, -(1 << 40)
-#: Tokens combined at once, words remembered by a worker.
-TOKENS, REMEMBERED = 3_000_000, 400_000
+#: Tokens combined at once, words remembered by a worker, and by one that has much else to hold.
+TOKENS, REMEMBERED, FEW = 3_000_000, 400_000, 150_000
 LEVELS = 96
 END = b" end"
 _PAIR = np.dtype([("h", "<u2", (3,)), ("n", "<u4")])
@@ -77,14 +77,14 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 class Words:
     """Hashes of words, remembered up to a bound."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
         import xxhash
 
-        self.digest, self.known = xxhash.xxh3_64_intdigest, {}
+        self.digest, self.known, self.most = xxhash.xxh3_64_intdigest, {}, most or REMEMBERED
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.most:
             known.clear()
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -233,7 +233,7 @@ def count(docs: DataFrame) -> DataFrame:
         top = np.bincount(level(c), minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(c.sum())], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([hist.tolist()], pa.list_(pa.int64())), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pairs.tobytes()], pa.binary()), pa.array([b"".join(got[2])], pa.binary())], names=["bucket", "tokens", "types", "hist", "top", "words", "pairs", "places"])
 
-    return stored(deal(docs.select("text").mapInArrow(emit, "bucket int, kind byte, blob binary")).mapInArrow(total, "bucket int, tokens long, types long, hist array<long>, top array<long>, words binary, pairs binary, places binary"))
+    return stored(deal(docs.select("text").mapInArrow(lean(emit), "bucket int, kind byte, blob binary")).mapInArrow(lean(total), "bucket int, tokens long, types long, hist array<long>, top array<long>, words binary, pairs binary, places binary"))
 
 
 class Model:
@@ -309,7 +309,7 @@ def build(counts: DataFrame, filter_bits: int = FILTER_BITS, frequent: int = FRE
                 f = w[level(w["n"]) >= common]
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([filter_part(h, lv, size) if size else b""], pa.binary()), pa.array([f.tobytes()], pa.binary())], names=["bucket", "size", "bits", "frequent"])
 
-    made = {r.bucket: r for r in counts.select("bucket", "words", "pairs").mapInArrow(make, "bucket int, size long, bits binary, frequent binary").collect()}
+    made = {r.bucket: r for r in counts.select("bucket", "words", "pairs").mapInArrow(lean(make), "bucket int, size long, bits binary, frequent binary").collect()}
     filt = Filter([bytes(made[i].bits) if i in made else b"" for i in range(n)], [made[i].size if i in made else 0 for i in range(n)])
     f = np.sort(np.frombuffer(b"".join(bytes(r.frequent) for r in made.values()), dtype=_WORD), order="h")
     return Model(filt, f["h"].copy(), f["n"].copy(), tokens, types, n)
@@ -329,7 +329,7 @@ def tune(model: Model, counts: DataFrame) -> None:
                     key, n = np.unique(np.stack(model.odds(places[:, 0], places[:, 1]), 1), axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(n)], names=["level", "ratio", "n"])
 
-    got = counts.select("places").mapInArrow(run, "level long, ratio long, n long").groupBy("level", "ratio").agg(F.sum("n").alias("n")).collect()  # LEVELS times some hundred ratios
+    got = counts.select("places").mapInArrow(lean(run), "level long, ratio long, n long").groupBy("level", "ratio").agg(F.sum("n").alias("n")).collect()  # LEVELS times some hundred ratios
     if got:
         at, ratio, n = (np.array([r[k] for r in got], dtype=np.int64) for k in ("level", "ratio", "n"))
         order = np.lexsort((ratio, at))
@@ -381,7 +381,7 @@ def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*void, *(pa.nulls(1, pa.int64()),) * 2, *(pa.nulls(1, pa.float64()),) * 2, pa.array([bucket], pa.int32()), pa.array([ask[at].tobytes()], pa.binary())], names=names)
 
     names = [*keep, "row_key", "held_out", "n_tokens", "n_known", "base", "score", "bucket", "blob"]
-    pass_one = stored(own.withColumn("row_key", F.monotonically_increasing_id()).mapInArrow(run, f"{kept_schema}, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, blob binary"))
+    pass_one = stored(own.withColumn("row_key", F.monotonically_increasing_id()).mapInArrow(lean(run), f"{kept_schema}, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, blob binary"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, blobs = np.zeros(0, dtype=_WORD), []
@@ -419,7 +419,7 @@ def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
 
     asked = pass_one.where("bucket is not null").select("bucket", F.lit(1).cast("byte").alias("kind"), "blob")
     totals = counts.select("bucket", F.lit(0).cast("byte").alias("kind"), F.col("words").alias("blob"))
-    sums = deal(deal(asked.union(totals)).mapInArrow(answer, "bucket int, blob binary")).mapInArrow(gather, "row_key long, more_known long, more_base double")
+    sums = deal(deal(asked.union(totals)).mapInArrow(lean(answer), "bucket int, blob binary")).mapInArrow(lean(gather), "row_key long, more_known long, more_base double")
     rows = pass_one.where("row_key is not null").select(*keep, "row_key", "held_out", "n_tokens", "n_known", "base", "score")
     floor = float(np.log10(model.tokens + model.types + 1))
     return rows.join(sums, "row_key", "left").select(

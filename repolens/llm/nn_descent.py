@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, deal, dropped, mix64, partitions, range_bucket, stored
+from ._common import by_bucket, deal, dropped, lean, mix64, partitions, range_bucket, stored
 from .components import components
 from .vectors import dimension, matrix, usable
 
@@ -116,7 +116,7 @@ class _Graph:
                 rec["id"], rec["w"], rec["room"], rec["x"] = b.column("id").to_numpy(), b.column("w").to_numpy(), K, matrix(b.column("vec"), dim)
                 yield from _rows(0, rec, _home(rec["id"], parts), parts)
 
-        return self._leaves(self.reps.mapInArrow(emit, _ROW), 11)
+        return self._leaves(self.reps.mapInArrow(lean(emit), _ROW), 11)
 
     def more_trees(self, seed: int) -> None:
         """Further forests, whose leaves' best pairs join the lists."""
@@ -170,7 +170,7 @@ class _Graph:
                 e = _once(np.concatenate(found))
                 yield from _rows(1, e, _home(e["a"], parts), parts)
 
-        return self._merged(deal(table.mapInArrow(emit, _ROW)).mapInArrow(compare, _ROW))
+        return self._merged(deal(table.mapInArrow(lean(emit), _ROW)).mapInArrow(lean(compare), _ROW))
 
     def _merged(self, edges: DataFrame) -> DataFrame:
         """Lists of kind 1 edges joined with the vertices of kind 0; saturated lists get more room."""
@@ -188,7 +188,7 @@ class _Graph:
             yield from _rows(0, v, _home(v["id"], parts), parts)
             yield from _rows(1, e, _home(e["a"], parts), parts)
 
-        return stored(deal(edges).mapInArrow(merge, _ROW))
+        return stored(deal(edges).mapInArrow(lean(merge), _ROW))
 
     def refine(self) -> None:
         parts, vertex, member = self.parts, self.vertex, self.member
@@ -242,7 +242,7 @@ class _Graph:
                 yield from _rows(1, e, _home(e["a"], parts), parts)
 
         old = self.table
-        self.table = self._merged(deal(deal(old.mapInArrow(back, _ROW)).mapInArrow(send, _ROW)).mapInArrow(join, _ROW))
+        self.table = self._merged(deal(deal(old.mapInArrow(lean(back), _ROW)).mapInArrow(lean(send), _ROW)).mapInArrow(lean(join), _ROW))
         dropped(old)
 
     def links(self) -> DataFrame:
@@ -256,7 +256,7 @@ class _Graph:
                     e = e[e["s"] >= threshold]
                     yield pa.RecordBatch.from_arrays([pa.array(e["a"]), pa.array(e["b"])], names=["a", "b"])
 
-        return self.table.where("kind = 1").select("blob").mapInArrow(run, "a long, b long")
+        return self.table.where("kind = 1").select("blob").mapInArrow(lean(run), "a long, b long")
 
 
 def _once(e: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _audit(reps: DataFrame, labels: DataFrame, dim: int, n: int, threshold: floa
                 keep = own[i] != ids[j]
                 yield pa.RecordBatch.from_arrays([pa.array(own[i][keep]), pa.array(ids[j][keep])], names=["a", "b"])
 
-        true = reps.select("id", "vec").mapInArrow(run, "a long, b long")
+        true = reps.select("id", "vec").mapInArrow(lean(run), "a long, b long")
         both = true.join(l.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(l.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
         got = both.groupBy("b").agg(F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("hit")).agg(F.avg("hit").alias("recall"), F.count("*").alias("n")).first()
         if got.n >= SEEN or size >= min(n, MOST_AUDITED):
@@ -330,7 +330,7 @@ def _counted(reps: DataFrame, labels: DataFrame, dim: int, threshold: float) ->
             out = [(first["id"], counts[0])] + ([] if same else [(second["id"], counts[1])])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], names=["id", "links"])
 
-    return deal(cell).mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return deal(cell).mapInArrow(lean(run), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import deal, partitions, small_batches, stored
+from ._common import deal, lean, partitions, small_batches, stored
 from .encoder import default_path, encoder
 
 #: Ids of a block: bounds what a reader or writer holds.
@@ -111,7 +111,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[int]) -> DataFra
             shard = np.searchsorted(np.array(cuts, dtype=np.int64), keys, side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shard), pa.array([x + end for x in ids], type=pa.binary())], names=["doc_id", "bucket", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, bucket int, ids binary")
+    return docs.mapInArrow(lean(run, "encoder"), "doc_id long, bucket int, ids binary")
 
 
 def _bounds(docs: DataFrame, n: int) -> list[int]:
@@ -192,7 +192,7 @@ def read_store(blocks: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(whole[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + r["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_bases(blocks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_bases(blocks).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def document_ids(blocks: DataFrame, shard: int, block: int, i: int) -> np.ndarray:
