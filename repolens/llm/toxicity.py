@@ -29,31 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, small_batches, widened, word_bytes
+from ._common import crc_bucket, lean, release, small_batches, widened, word_bytes
 
-EXAMPLES, K, DENSE, BATCH = 2_000, 15, 1_024, 512
+EXAMPLES, K, DENSE, BATCH, REMEMBERED = 2_000, 15, 1_024, 256, 150_000
 #: Examples of a block; blocks of a text that are evaluated before bounds are compared.
 BLOCK, FIRST = 32, 6
 _EDGE = b".,;:!?\"'()[]{}<>|*-_"
 
 
-class _Terms(dict):
-    """Terms of a word, remembered up to a bound."""
+def terms_of(word: bytes) -> tuple[bytes, ...]:
+    """The terms of a word: without the punctuation around it, and the beginnings of long ones."""
+    w = word.strip(_EDGE)
+    return (w, b"^" + w[:4], b"^" + w[:5]) if len(w) > 5 else (w,) if w else ()
 
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        w = word.strip(_EDGE)
-        self[word] = out = (w, b"^" + w[:4], b"^" + w[:5]) if len(w) > 5 else (w,) if w else ()
-        return out
 
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's terms, ascending, and how often each occurs."""
+    import xxhash
 
-def terms(text: str | None, memory: dict) -> Counter:
     found: Counter = Counter()
     for w, n in Counter(word_bytes(text)).items():
-        for t in memory[w]:
-            found[t] += n
-    return found
+        for t in terms_of(w):
+            found[xxhash.xxh3_64_intdigest(t)] += n
+    at = np.array(sorted(found), dtype=np.uint64)
+    return at, np.array([found[t] for t in at.tolist()], dtype=np.int64)
 
 
 class Index:
@@ -61,10 +60,10 @@ class Index:
     heaviest terms.  Postings of rare terms are added to a text's cosines directly; of the ``DENSE``
     commonest terms a block holds a matrix, and the block maxima tell what it can add at most."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> None:
-        """examples: (id, label, term numbers, counts), in any order; share: how many real rows an
-        example of label 0 or 1 stands for."""
-        self.number, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    def __init__(self, terms, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> None:
+        """terms: ascending hashes; examples: (id, label, term numbers, counts), in any order; share: how
+        many real rows an example of label 0 or 1 stands for."""
+        self.terms, self.idf = terms, idf
         heaviest = [int(e[2][np.argmax(self.weights(e[2], e[3]))]) if len(e[2]) else -1 for e in examples]
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples], dtype=np.float64)
@@ -104,9 +103,8 @@ class Index:
         if self.matrix is None:
             common = np.flatnonzero(self.slot >= 0)
             p, n = self._postings(common)
-            m = np.zeros((len(common), self.blocks * BLOCK))
-            m[np.repeat(self.slot[common], n), self.row[p]] = self.weight[p]
-            self.matrix = np.ascontiguousarray(m.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+            self.matrix = np.zeros((self.blocks, len(common), BLOCK))
+            self.matrix[self.row[p] // BLOCK, np.repeat(self.slot[common], n), self.row[p] % BLOCK] = self.weight[p]
             self.most = self.matrix.max(axis=2, initial=0).T.copy()
         b, size = len(texts), self.blocks * BLOCK
         q, cos = np.zeros((b, self.matrix.shape[1])), np.zeros((b, size))
@@ -131,17 +129,25 @@ class Index:
         first = np.zeros_like(done)
         np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
         evaluate(first)
-        known = np.where(np.repeat(done, BLOCK, axis=1), cos, -1.0)
-        least = np.maximum(0.0, np.partition(known, -k, axis=1)[:, -k] if size >= k else 0.0)
+        grid = cos.reshape(b, self.blocks, BLOCK)
+        least = np.zeros(b)
+        for i in range(b):
+            own = grid[i, done[i]].ravel()
+            least[i] = max(0.0, np.partition(own, -k)[-k]) if len(own) >= k else 0.0
         evaluate(~done & (bound > 0) & (bound >= least[:, None] - 1e-9))
-        cos = np.where(np.repeat(done, BLOCK, axis=1), np.round(cos, 12), -1.0)  # equal examples get equal cosines
-        return [self._top(c, k) for c in cos]
+        out = []
+        for i in range(b):
+            place = np.flatnonzero(done[i])
+            near, best = self._top((place[:, None] * BLOCK + np.arange(BLOCK)).ravel(), np.round(grid[i, place].ravel(), 12), k)  # equal examples get equal cosines
+            out.append((near, best))
+        return out
 
-    def _top(self, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _top(self, place: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
         hit = np.flatnonzero((cos >= least) & (cos > 0))
-        best = hit[np.lexsort((self.ids[self.example[hit]], -cos[hit]))[:k]]
-        return self.example[best], cos[best]
+        example = self.example[place[hit]]
+        best = np.lexsort((self.ids[example], -cos[hit]))[:k]
+        return example[best], cos[hit[best]]
 
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a positive cosine, exactly."""
@@ -175,6 +181,7 @@ class Index:
                 d = np.linalg.solve(m, g)
                 a, b = a + float(np.clip(d[0], -3, 3)), b + float(np.clip(d[1], -3, 3))
         self.a, self.b = a, b
+        self.matrix = self.most = None
 
     def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
         """(probability, ids of the nearest examples) for each text's (term numbers, weights)."""
@@ -192,31 +199,40 @@ class Reader:
     """Vectors of texts: a word is looked up once for the numbers of its terms, remembered to a bound."""
 
     def __init__(self, index: Index) -> None:
-        self.index, self.terms = index, _Terms()
+        self.index = index
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.table = np.empty((0, 3), dtype=np.int64)
+        self.table = np.empty((0, 3), dtype=np.int32)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the terms of each word, -1 for those that no example has."""
+        import xxhash
+
+        own = [terms_of(w) for w in words]
+        h = np.array([xxhash.xxh3_64_intdigest(t) for x in own for t in x], dtype=np.uint64)
+        known = self.index.terms
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        out, size = np.full((len(words), 3), -1, dtype=np.int32), np.array([len(x) for x in own])
+        row = np.repeat(np.arange(len(words)), size)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.where(known[at] == h, at, -1)
+        return out
 
     def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         words = [word_bytes(t) for t in texts]
         new = set().union(*words).difference(self.slot)
-        if len(self.slot) + len(new) > 300_000:
+        if len(self.slot) + len(new) > REMEMBERED:
             self._clear()
             new = set().union(*words)
-        if new:
-            number, more = self.index.number, np.full((len(new), 3), -1, dtype=np.int64)
-            for i, w in enumerate(new):
-                found = self.terms[w]
-                more[i, : len(found)] = [number.get(t, -1) for t in found]
-                self.slot[w] = len(self.table) + i
-            self.table = np.concatenate([self.table, more])
+        if new and len(self.index.terms):
+            self.table = np.concatenate([self.table, self._numbers(list(new))])
+            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
         out = []
         for w in words:
-            at = self.table[np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w))].ravel()
+            at = self.table[np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w))].ravel() if len(self.slot) else np.empty(0, np.int32)
             at, n = np.unique(at[at >= 0], return_counts=True)
-            out.append((at, self.index.weights(at, n)))
+            out.append((at.astype(np.int64), self.index.weights(at, n)))
         return out
 
 
@@ -236,30 +252,30 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, examples: int = EXAMPLES) -
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Terms()
         for b in batches:
-            found = [terms(t, memory) for t in b.column("text").to_pylist()]
-            packed = [b"\n".join(f) for f in found]  # no term holds white space
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(packed, pa.binary()), pa.array([np.array(list(f.values()), dtype="<u4").tobytes() for f in found], pa.binary())], names=["doc_id", "toxic", "terms", "n"])
+            found = [terms(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array([f[k].astype(t).tobytes() for f in found], pa.binary()) for k, t in ((0, "<u8"), (1, "<u4")))], names=["doc_id", "toxic", "terms", "n"])
 
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, n binary").collect()
-    return index_of([(r.doc_id, r.toxic, bytes(r.terms), bytes(r.n)) for r in sorted(got, key=lambda r: r.doc_id)], counts)
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(lean(vectors), "doc_id long, toxic int, terms binary, n binary").collect()
+    rows = [(r.doc_id, r.toxic, bytes(r.terms), bytes(r.n)) for r in sorted(got, key=lambda r: r.doc_id)]
+    del got
+    index = index_of(rows, counts)
+    del rows
+    release()
+    return index
 
 
 def index_of(rows: list[tuple[int, int, bytes, bytes]], counts: dict[int, int]) -> Index:
-    """Index of examples (id, label, terms, counts) in ascending id order; ``counts``: all labelled rows."""
-    number: dict[bytes, int] = {}
-    examples = []
-    for key, label, packed, n in rows:
-        at = np.array([number.setdefault(t, len(number)) for t in (packed.split(b"\n") if n else ())], dtype=np.int64)
-        order = np.argsort(at)
-        examples.append((key, label, at[order], np.frombuffer(n, dtype="<u4").astype(np.float64)[order]))
+    """Index of examples (id, label, ascending term hashes, their counts) in ascending id order;
+    ``counts``: all labelled rows."""
+    known = np.unique(np.frombuffer(b"".join(r[2] for r in rows), dtype="<u8"))
+    examples = [(key, label, np.searchsorted(known, np.frombuffer(t, dtype="<u8")).astype(np.int32), np.frombuffer(n, dtype="<u4")) for key, label, t, n in rows]
     none = np.empty(0, np.int64)
-    a, b = (np.bincount(np.concatenate([*(e[2] for e in examples if e[1] == v), none]), minlength=len(number)).astype(np.float64) for v in (1, 0))
+    a, b = (np.bincount(np.concatenate([*(e[2] for e in examples if e[1] == v), none]), minlength=len(known)).astype(np.float64) for v in (1, 0))
     n0, n1 = (sum(e[1] == v for e in examples) for v in (0, 1))
     n = len(examples)
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, (a + b) * (n - a - b) * n0 * n1)
-    return Index(list(number), np.log(1 + n / (a + b)) * (1 + chi), examples, (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))
+    return Index(known, np.log(1 + n / (a + b)) * (1 + chi), examples, (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
@@ -278,7 +294,7 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
             p = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=[*b.schema.names, "score", "predicted", "evidence"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out: int = 0) -> DataFrame:
