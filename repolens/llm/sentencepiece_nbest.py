@@ -27,18 +27,20 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import keeps, lean, small_batches
 
 MARK = "▁"
 BEST, REMEMBERED, LONGEST = 4, 600_000, 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_SCORE, _LOSS, _IDS, _SAID = map(itemgetter, range(4))
 _open: dict[str, Pieces] = {}
 
 
@@ -54,8 +56,7 @@ class Pieces:
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte.items()}
-        self.is_byte = np.zeros(n, dtype=bool)
-        self.is_byte[list(self.bytes_of)] = True
+        self.raw = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.unknown = sp.unk_id()
         self.piece = {self.text[i]: (i, sp.get_score(i)) for i in usual}
         self.single = {p for p in self.piece if len(p) == 1}
@@ -70,8 +71,8 @@ class Pieces:
         # most stretches are no piece: a table of hash prefixes, small enough to stay in cache, says so
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.keys >> np.uint64(42)] = True
-        self.known: dict[str, tuple[float, float, bytes]] = {}
-        self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.known: dict[str, tuple[float, float, bytes, bytes]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, bytes, bytes]]] = {}
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -133,7 +134,7 @@ class Pieces:
         return out
 
     def solve(self, chunks: list[str]) -> None:
-        """Remember (best score, least loss of another path, ids) of new chunks."""
+        """Remember (best score, least loss of another path, ids, what they decode to) of new chunks."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.ranked.clear()
@@ -143,7 +144,7 @@ class Pieces:
                 plain.append(c)
             else:
                 two = self.nbest(c, 2)
-                self.known[c] = (two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, np.array(two[0][1], dtype="<u4").tobytes())
+                self.known[c] = (two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, np.array(two[0][1], dtype="<u4").tobytes(), self._joined(two[0][1]))
         plain.sort(key=len)
         for s in range(0, len(plain), 4_096):
             self._solve_many(plain[s : s + 4_096])
@@ -191,14 +192,14 @@ class Pieces:
             at[r] -= back[r, at[r]]
         total = best[rows, size].tolist()
         for c, t, x, p, k in zip(chunks, total, loss.tolist(), path, steps.tolist(), strict=True):
-            self.known[c] = (t, x, p[width - k :].tobytes())
+            self.known[c] = (t, x, p[width - k :].tobytes(), self._joined(p[width - k :].tolist()))
 
-    def ways(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best (loss, ids) of a chunk."""
+    def ways(self, chunk: str, n: int) -> list[tuple[float, bytes, bytes]]:
+        """The n best (loss, ids, what they decode to) of a chunk."""
         key = (chunk, n)
         if key not in self.ranked:
             found = self.nbest(chunk, n)
-            self.ranked[key] = [(found[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in found]
+            self.ranked[key] = [(found[0][0] - s, np.array(ids, dtype="<u4").tobytes(), self._joined(ids)) for s, ids in found]
         return self.ranked[key]
 
     def normalized(self, text: str | None) -> str:
@@ -206,11 +207,17 @@ class Pieces:
 
     def text_nbest(self, texts: list[str | None], n: int) -> list[list[tuple[float, bytes]]]:
         """For each text, its n best (score, ids as little-endian unsigned 32-bit integers)."""
+        return [[x[:2] for x in found] for found in self.text_decoded(texts, n)]
+
+    def text_decoded(self, texts: list[str | None], n: int) -> list[list[tuple[float, bytes, bytes]]]:
+        """``text_nbest`` with the UTF-8 bytes that each path's ids decode to; a chunk's ids are decoded
+        when it is solved, as decoding joins what pieces stand for."""
         if not self.parts:
-            return [[(s, np.array(i, dtype="<u4").tobytes()) for s, i in self.nbest(self.normalized(t), n)] if t else [(0.0, b"")] for t in texts]
+            found = [self.nbest(self.normalized(t), n) if t else [(0.0, ())] for t in texts]
+            return [[(s, np.array(i, dtype="<u4").tobytes(), self._unspaced(self._joined(i))) for s, i in f] for f in found]
         cut = [_CHUNK.findall(self.normalized(t)) for t in texts]
         known = self.known
-        new = {c for chunks in cut for c in set(chunks) if c not in known}
+        new = set().union(*cut).difference(known)
         if len(known) + len(new) > REMEMBERED:
             new.update(c for chunks in cut for c in chunks)
             known.clear()
@@ -219,12 +226,11 @@ class Pieces:
             self.solve(sorted(new))
         return [self._combined(chunks, n) for chunks in cut]
 
-    def _combined(self, chunks: list[str], n: int) -> list[tuple[float, bytes]]:
-        known = self.known
-        own = [known[c] for c in chunks]
-        total, parts = sum(x[0] for x in own), [x[2] for x in own]
-        loss = np.array([x[1] for x in own])
-        out = [(total, b"".join(parts))]
+    def _combined(self, chunks: list[str], n: int) -> list[tuple[float, bytes, bytes]]:
+        own = list(map(self.known.__getitem__, chunks))
+        total, parts, said = sum(map(_SCORE, own)), list(map(_IDS, own)), list(map(_SAID, own))
+        loss = np.fromiter(map(_LOSS, own), np.float64, len(own))
+        out = [(total, b"".join(parts), self._unspaced(b"".join(said)))]
         if n < 2 or not len(loss):
             return out
         order = np.lexsort((np.arange(len(loss)), loss)) if len(loss) <= n - 1 else None
@@ -239,34 +245,31 @@ class Pieces:
             choices = sorted(((x + w[0], (*c, k)) for x, c in choices for k, w in enumerate(ways)), key=lambda c: (c[0], tuple(-k for k in c[1])))[:n]
         for x, c in choices:
             if any(c):
-                changed = list(parts)
+                ids, texts = list(parts), list(said)
                 for i, k in zip(places, c, strict=True):
-                    changed[i] = self.ways(chunks[i], n)[k][1]
-                out.append((total - x, b"".join(changed)))
+                    _, ids[i], texts[i] = self.ways(chunks[i], n)[k]
+                out.append((total - x, b"".join(ids), self._unspaced(b"".join(texts))))
         return out[:n]
 
+    def _joined(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+    @staticmethod
+    def _unspaced(data: bytes) -> bytes:
+        return data[1:] if data.startswith(b" ") else data
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes that pieces stand for: a byte piece is its byte, a mark a space."""
+        return self._unspaced(self._joined(ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of pieces; runs of byte pieces are UTF-8 (bad bytes become U+FFFD)."""
-        if not self.is_byte[ids].any():
-            text = "".join(map(self.text.__getitem__, ids.tolist())).replace(MARK, " ")
-            return text[1:] if text.startswith(" ") else text
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            if i in self.bytes_of:
-                raw.append(self.bytes_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        """The text of pieces (bytes that are no UTF-8 become U+FFFD)."""
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 def pieces(path: str) -> Pieces:
-    """The model of a file, one a worker."""
+    """The model of a file, one a worker, until a task of another kind comes."""
+    keeps("pieces", _open.clear)
     if path not in _open:
         _open[path] = Pieces(path)
     return _open[path]
@@ -291,21 +294,22 @@ def encode_nbest(docs: DataFrame, n: int = BEST, path: str | None = None, ids: b
         for b in batches:
             texts = b.column("text").to_pylist()
             for s in range(0, len(texts), 128):
-                found = model.text_nbest(texts[s : s + 128], n)
+                found = model.text_decoded(texts[s : s + 128], n)
                 row = pa.array(np.repeat(np.arange(s, s + len(found)), [len(f) for f in found]))
-                flat = [(k, x, p) for f in found for k, (x, p) in enumerate(f, 1)]
+                flat = [(k, *x) for f in found for k, x in enumerate(f, 1)]
                 cols = [b.column("doc_id").take(row), pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.float64()), pa.array([len(f[2]) // 4 for f in flat], pa.int64()), pa.array([zlib.crc32(f[2]) for f in flat], pa.int64())]
                 if ids:
                     cols.append(pa.array([np.frombuffer(f[2], "<u4").astype(np.int32) for f in flat], pa.list_(pa.int32())))
                 if decoded:
-                    back = [model.decode(np.frombuffer(f[2], "<u4")) for f in flat]
-                    cols.append(pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back], pa.int64()))
-                    cols.append(pa.array([t == (texts[i] or "") for t, i in zip(back, row.to_pylist(), strict=True)], pa.bool_()))
+                    back = [f[3] for f in flat]
+                    given = [(t or "").encode("utf-8", "surrogatepass") for t in texts[s : s + 128]]
+                    cols.append(pa.array(map(zlib.crc32, back), pa.int64()))
+                    cols.append(pa.array([t == given[i - s] for t, i in zip(back, row.to_pylist(), strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", *["ids"] * ids, *["text_crc32", "same_text"] * decoded]
     key = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {key}, rank int, score double, n_pieces long, ids_crc32 long" + ", ids array<int>" * ids + ", text_crc32 long, same_text boolean" * decoded)
+    return own.mapInArrow(lean(run, "pieces"), f"doc_id {key}, rank int, score double, n_pieces long, ids_crc32 long" + ", ids array<int>" * ids + ", text_crc32 long, same_text boolean" * decoded)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -319,4 +323,4 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if i is None else model.decode(np.array(i, dtype=np.int64)) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), "decoded"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "decoded string"]))
+    return rows.mapInArrow(lean(run, "pieces"), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "decoded string"]))
