@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import deal, mix64, partitions, small_batches, stored, widened
-from .encoder import default_path, encoder
+from ._common import deal, lean, mix64, partitions, small_batches, stored, widened
+from .encoder import default_path, encoder, forget
 
-WINDOW, STEP, SHARD, QUERY = 2_048, 16, 4_096, 32
+WINDOW, STEP, SHARD, QUERY, AHEAD = 2_048, 16, 4_096, 32, 64
 #: BM25's saturation and length norm.
 K1, B = 1.2, 0.75
 _POLY = 0xEDB88320
@@ -109,19 +109,23 @@ class Shard:
         self.post_first = np.r_[0, np.cumsum(np.bincount(term))]
         self.left = lengths.astype(np.int64).copy()
 
-    def neighbours(self, seed: int) -> np.ndarray:
+    def neighbours(self, seed: int) -> Iterator[int]:
         """Unused units that share a heavy term with the seed, best first, ties to earlier ones."""
         s, e = self.first[seed], self.first[seed + 1]
         w = self.own_weights[s:e]
         top = np.argpartition(-w, QUERY)[:QUERY] if len(w) > QUERY else np.arange(len(w))
         spans = [(self.post_first[t], self.post_first[t + 1]) for t in self.own_terms[s:e][top[w[top] > 0]].tolist()]
         if not spans:
-            return np.empty(0, dtype=np.int64)
+            return
         score = np.bincount(np.concatenate([self.post_doc[a:z] for a, z in spans]), np.concatenate([self.post_weight[a:z] for a, z in spans]), self.n)
         score[self.left <= 0] = 0
         score[seed] = 0
         hit = np.flatnonzero(score)
-        return hit[np.argsort(-score[hit], kind="stable")]
+        if len(hit) > AHEAD:  # most windows are full after a few
+            least = np.partition(score[hit], -AHEAD)[-AHEAD]
+            first, hit = hit[score[hit] >= least], hit[score[hit] < least]
+            yield from first[np.argsort(-score[first], kind="stable")].tolist()
+        yield from hit[np.argsort(-score[hit], kind="stable")].tolist()
 
     def windows(self) -> Iterator[list[tuple[int, int, int]]]:
         """Windows as (unit, start in the unit, length); every id of every unit once."""
@@ -137,7 +141,7 @@ class Shard:
             window = [(seed, int(whole[seed] - left[seed]), int(left[seed]))]
             room, left[seed] = WINDOW - int(left[seed]), 0
             if room >= STEP:
-                for u in self.neighbours(seed).tolist():
+                for u in self.neighbours(seed):
                     take = int(left[u]) if left[u] <= room else room - room % STEP
                     window.append((u, int(whole[u] - left[u]), take))
                     left[u] -= take
@@ -178,7 +182,7 @@ def _units(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 order.append(zlib.crc32(crcs[-1]))
             yield pa.RecordBatch.from_arrays([keys, pa.array(order, pa.int64()), pa.array(total, pa.int64()), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=_UNIT)
 
-    return docs.mapInArrow(run, "doc_id long, tie long, total long, crcs binary, terms binary, counts binary")
+    return docs.mapInArrow(lean(run, "encoder"), "doc_id long, tie long, total long, crcs binary, terms binary, counts binary")
 
 
 def _statistics(units: DataFrame, kind: str, ids: int, n: int) -> Bm25:
@@ -203,7 +207,7 @@ def _statistics(units: DataFrame, kind: str, ids: int, n: int) -> Bm25:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["bucket", "df"])
 
-    got = {r.bucket: bytes(r.df) for r in deal(units.select("terms", "total").mapInArrow(count, "bucket int, df binary")).mapInArrow(total, "bucket int, df binary").collect()}
+    got = {r.bucket: bytes(r.df) for r in deal(units.select("terms", "total").mapInArrow(lean(count), "bucket int, df binary")).mapInArrow(lean(total), "bucket int, df binary").collect()}
     df = np.frombuffer(b"".join(got[k] for k in sorted(got)), dtype=np.int64) if got else np.zeros(ids + 2, dtype=np.int64)
     return Bm25(df[:ids].astype(np.float64), int(df[ids]), float(df[ids + 1]) / max(1, int(df[ids])))
 
@@ -219,6 +223,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame
     n = partitions(spark, docs)
     enc = encoder(path)
     kind, ids = ("<u4" if enc.dtype.itemsize == 4 else "<u2"), max(enc.size, end_id + 1)
+    del enc
+    forget()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = stored(_units(own, path, end_id))
     shared = spark.sparkContext.broadcast(_statistics(units, kind, ids, n))
@@ -279,8 +285,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     order = ["near", "nearer", F.xxhash64("doc_id", "tie"), F.col("doc_id"), F.col("tie")]
-    units = units.mapInArrow(place, widened(units, near="int", nearer="int")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return units.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    units = units.mapInArrow(lean(place), widened(units, near="int", nearer="int")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return units.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def piece_ids(text: str | None, start: int, length: int, path: str | None = None, end_id: int = 1) -> list[int]:
