@@ -45,9 +45,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import deal, lookup_table, mix64, partitions, range_bucket, small_batches, stored, word_bytes
+from ._common import deal, lean, lookup_table, mix64, partitions, range_bucket, small_batches, stored, word_bytes
 from .components import components
-from .lm import Words
+from .lm import FEW, Words
 from .shingles import shingle_hashes
 
 THRESHOLD, GROUP = (3, 4), 32
@@ -156,14 +156,20 @@ def grouped(heads: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     of the two, and the members of its large groups."""
     wide = np.zeros((len(low), 4), dtype="<u2")
     wide[:, :3] = low
-    sig, row = wide.reshape(-1).view("<u8"), np.repeat(np.arange(len(heads)), heads["n"])
-    order = np.lexsort((heads["fp"][row], sig))
+    sig, row = wide.reshape(-1).view("<u8"), np.repeat(np.arange(len(heads), dtype=np.int32), heads["n"])
+    del wide, low
+    order = np.lexsort((heads["fp"][row], sig)).astype(np.int32)
     sig, row = sig[order], row[order]
+    del order
     fp = heads["fp"][row]
     keep = np.r_[True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])] if len(sig) else np.empty(0, bool)
-    sig, row, fp = sig[keep], row[keep], fp[keep]
+    if not keep.all():
+        sig, row, fp = sig[keep], row[keep], fp[keep]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.r_[first, len(sig)])
+    shared = np.repeat(size > 1, size)  # most signatures are one set's alone
+    sig, row, fp, size = sig[shared], row[shared], fp[shared], size[size > 1]
+    first = np.cumsum(size) - size
     left, right = [], []
     for g in range(2, GROUP + 1):
         own = first[size == g]
@@ -195,7 +201,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(bucket, a, elements) of the texts of ``wanted`` (fp, row_key, buckets), once for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(FEW)
         for b in batches:
             out: list[tuple] = []
             for fp, buckets, text in zip(*(b.column(c).to_pylist() for c in ("fp", "buckets", "text")), strict=True):
@@ -204,7 +210,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for s in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*out[s : s + 512], strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "a", "elements"])
 
-    return docs.join(lookup_table(wanted, "buckets", 8), "row_key").select("fp", "buckets", "text").mapInArrow(run, "bucket int, a long, elements binary")
+    return docs.join(lookup_table(wanted, "buckets", 8), "row_key").select("fp", "buckets", "text").mapInArrow(lean(run), "bucket int, a long, elements binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
@@ -234,7 +240,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
                     good[i] = both * THRESHOLD[1] >= (len(p) + len(q) - both) * THRESHOLD[0]
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return deal(sets.unionByName(asks), n).mapInArrow(run, "a long, b long")
+    return deal(sets.unionByName(asks), n).mapInArrow(lean(run), "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +253,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = partitions(spark, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(FEW)
         for b in batches:
             texts, sizes, fps = b.column("text").to_pylist(), [], []
             for s in range(0, len(texts), 128):
@@ -264,7 +270,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     names = ["doc_id", "row_key", "n_shingles", "fp", "bucket", "heads", "low"]
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    first = deal(all_docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"), n)
+    first = deal(all_docs.mapInArrow(lean(run), "doc_id long, row_key long, n_shingles long, fp long, bucket int, heads binary, low binary"), n)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, low = [], []
@@ -278,7 +284,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             low += rest.column("low").to_pylist()
         if not heads:
             return
-        pairs, hot = grouped(np.frombuffer(b"".join(heads), dtype=_HEAD), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3))
+        heads, low = np.frombuffer(b"".join(heads), dtype=_HEAD), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3)
+        pairs, hot = grouped(heads, low)
+        del heads, low
 
         def made(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
             k = len(next(iter(columns.values())))
@@ -292,7 +300,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield made({"a": h["fp"], "sig": h["sig"], "room": h["room"], "band": h["band"]})
 
     out, types = [*names[:4], "a", "b", "sig", "room", "band"], [pa.int64()] * 7 + [pa.int32()] * 2
-    met = stored(first.mapInArrow(meet, "doc_id long, row_key long, n_shingles long, fp long, a long, b long, sig long, room int, band int"))
+    met = stored(first.mapInArrow(lean(meet), "doc_id long, row_key long, n_shingles long, fp long, a long, b long, sig long, room int, band int"))
     rows = met.where("a is null").select("doc_id", "row_key", "n_shingles", "fp")
     hot = met.where("a is not null and b is null").select(F.col("a").alias("fp"), "sig", "room", "band")
     often = hot.groupBy("fp", "band").agg(F.count("*").alias("hot"), F.min("room").alias("room"))
@@ -360,7 +368,7 @@ def _between(poor: DataFrame, n: int) -> DataFrame:
                     out.append((int(fp[p]), int(fp[q])))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return deal(cells, n).mapInArrow(run, "a long, b long")
+    return deal(cells, n).mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
