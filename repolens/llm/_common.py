@@ -146,8 +146,11 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ow
     releases its own memory at the end."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other in [k for k in _kept if k != owner]:
+        others = [k for k in _kept if k != owner]
+        for other in others:
             _kept.pop(other)()
+        if others:
+            release()
         yield from run(batches)
         release()
 
