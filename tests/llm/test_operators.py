@@ -283,6 +283,61 @@ def test_language_model_counts(spark, corpus):
     assert language_model(documents(spark, [])).collect() == []
 
 
+def test_filter_holds_every_ngram():
+    from repolens.llm.lm import Asks, answered, level, pair_hash
+
+    rng = np.random.default_rng(8)
+    n, batches = 3, []
+    for k in range(2):
+        vocabulary = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+        at = rng.zipf(1.3, 40_000) % 3000
+        batches.append((k, vocabulary, np.r_[at[-1:], at[:-1]], at, at % 5 > 0))  # some tokens are held out
+    batches.append((2, batches[0][1], *batches[0][2:4], np.zeros(40_000, bool)))  # asks only
+    ranges, asks, tokens, types = [[] for _ in range(n)], {}, 0, 0
+    for k, vocabulary, before, at, train in batches:
+        asks[k] = a = Asks(vocabulary, before, at)
+        pair_counts = np.add.reduceat(train[a.order].astype(np.int64), a.first)
+        for b, *blobs in a.rows(vocabulary, pair_counts, np.bincount(at, train, 3000), n):
+            ranges[b].append((k, *blobs))
+    answers = {0: [], 1: [], 2: []}
+    for b, got in enumerate(ranges):
+        out, t, v = answered(got)
+        tokens, types = tokens + t, types + v
+        for k, *blobs in out:
+            answers[k].append((b, *blobs))
+    words, pairs = Counter(), Counter()
+    for _, vocabulary, before, at, train in batches:
+        words.update(vocabulary[at[train]].tolist())
+        pairs.update(pair_hash(vocabulary[before], vocabulary[at])[train].tolist())
+    assert (tokens, types) == (sum(words.values()), len(words)) and sum(c == 1 for c in pairs.values()) > 2000
+    for k, vocabulary, before, at, _ in batches:
+        got, lv, exact = asks[k].answers(answers[k])
+        want = np.array([pairs[p] for p in pair_hash(vocabulary[before], vocabulary[at]).tolist()])
+        counts = np.array([words[w] for w in vocabulary.tolist()])
+        assert (exact == counts).all()
+        for found, true in ((got, want), (lv, counts)):
+            true = np.where(true > 0, level(true), 0)
+            assert (found >= true).all() and (found > true).mean() < 0.03
+
+
+def test_pairs_that_occur_once_count(spark):
+    from repolens.llm.lm import language_model
+
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 120)) for k in range(80)] + [(k, "the same five words here " * 20) for k in range(80, 90)]
+    seen = [k for k in range(80) if zlib.crc32(str(k).encode()) % 7 != 2]
+    again = [k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 7 == 2][: len(seen)]
+    for k, x in zip(again, seen, strict=True):  # the words of a training text in another order, held out
+        words = rows[x][1].split()
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r for r in language_model(documents(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for k, x in zip(again, seen, strict=True):
+        assert got[k].held_out and abs(got[k].base_score - got[x].base_score) < 1e-6 and got[k].n_known == got[x].n_known
+        assert got[x].score > got[k].score + 0.1
+
+
 def test_bloom_filter_levels():
     from repolens.llm.lm import BITS, Filter, filter_part
 
