@@ -55,6 +55,8 @@ THRESHOLD, GROUP = (3, 4), 32
 SPARE, BLOCK = 0.12, 512
 #: A set's signatures in one bucket: n of them, 255 at most; a room beyond its field only lets more pairs through to be verified.
 _HEAD = np.dtype([("fp", "<u8"), ("room", "<i2"), ("band", "u1"), ("n", "u1")])
+#: Two heads of a set in one bucket, of ``band`` and of the band below (n 0: none), as they are shuffled.
+_BOTH = np.dtype([("fp", "<u8"), ("room", "<i2", (2,)), ("band", "u1"), ("n", "u1", (2,))])
 
 
 def band_of(size: int) -> int:
@@ -147,6 +149,33 @@ def signatures(sets: list[np.ndarray], fps: np.ndarray, n: int) -> list[tuple[in
     return [(b, b"".join(x), b"".join(y)) for b, (x, y) in found.items()]
 
 
+def packed(heads: bytes, low: bytes) -> tuple[bytes, bytes]:
+    """A bucket's heads and signatures for the shuffle: a fingerprint stands once for its two bands, as with
+    many buckets the heads weigh as much as the signatures."""
+    head, sig = np.frombuffer(heads, dtype=_HEAD), np.frombuffer(low, dtype="<u2").reshape(-1, 3)
+    n = head["n"].astype(np.int64)
+    start = np.cumsum(n) - n
+    order = np.lexsort((-head["band"].astype(np.int64), head["fp"]))
+    head, n, start = head[order], n[order], start[order]
+    sig = sig[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(sig))]
+    below = np.r_[False, (head["fp"][1:] == head["fp"][:-1]) & (head["band"][1:] + 1 == head["band"][:-1])]
+    first, second = np.flatnonzero(~below), np.flatnonzero(below)
+    both = np.zeros(len(first), dtype=_BOTH)
+    both["fp"], both["band"] = head["fp"][first], head["band"][first]
+    both["room"][:, 0], both["n"][:, 0] = head["room"][first], head["n"][first]
+    at = np.searchsorted(first, second) - 1
+    both["room"][at, 1], both["n"][at, 1] = head["room"][second], head["n"][second]
+    return both.tobytes(), sig.tobytes()
+
+
+def unpacked(both: np.ndarray) -> np.ndarray:
+    """The heads that ``packed`` has put together, in the order of its signatures."""
+    heads = np.zeros((len(both), 2), dtype=_HEAD)
+    heads["fp"], heads["room"], heads["n"] = both["fp"][:, None], both["room"], both["n"]
+    heads["band"][:, 0], heads["band"][:, 1] = both["band"], both["band"] - 1
+    return heads[heads["n"] > 0]
+
+
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("band", "<i4"), ("room", "<i4"), ("n", "<i8")])
 _HOT = np.dtype([("sig", "<u8"), ("fp", "<u8"), ("room", "<i4"), ("band", "<i4")])
 
@@ -263,6 +292,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 fps.append(own)
                 _, once = np.unique(own, return_index=True)
                 for bucket, heads, low in signatures([sets[i] for i in once], own[once], n):
+                    heads, low = packed(heads, low)
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([heads], pa.binary()), pa.array([low], pa.binary())], names=names)
             k = b.num_rows
             fp = np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)
@@ -284,7 +314,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             low += rest.column("low").to_pylist()
         if not heads:
             return
-        heads, low = np.frombuffer(b"".join(heads), dtype=_HEAD), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3)
+        heads, low = unpacked(np.frombuffer(b"".join(heads), dtype=_BOTH)), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3)
         pairs, hot = grouped(heads, low)
         del heads, low
 

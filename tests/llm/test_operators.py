@@ -93,6 +93,27 @@ def test_jaccard_signatures_meet_for_every_similar_pair():
         assert any((p["a"], p["b"]) == (1, 2) and p["n"] > p["room"] for p in pairs)
 
 
+def test_jaccard_heads_are_packed():
+    from repolens.llm import jaccard_join as j
+
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 5, 40, 300, 300, 1_000, 30_000)]
+
+    def rows(head, low):
+        at = np.repeat(np.arange(len(head)), head["n"])
+        return sorted(zip(head["fp"][at].tolist(), head["band"][at].tolist(), head["room"][at].tolist(), map(tuple, low.tolist()), strict=True))
+
+    for n in (1, 64):
+        before = after = 0
+        for _, heads, low in j.signatures(sets, np.arange(7, 7 + len(sets), dtype=np.uint64), n):
+            both, moved = j.packed(heads, low)
+            usual = np.frombuffer(heads, dtype=j._HEAD)["fp"] < 14  # the last set has several heads of a band in a bucket
+            before, after = before + 12 * int(usual.sum()), after + 15 * int((np.frombuffer(both, dtype=j._BOTH)["fp"] < 14).sum())
+            one, other = ((h, np.frombuffer(x, dtype="<u2").reshape(-1, 3)) for h, x in ((np.frombuffer(heads, dtype=j._HEAD), low), (j.unpacked(np.frombuffer(both, dtype=j._BOTH)), moved)))
+            assert rows(*one) == rows(*other)
+        assert n == 1 or after < 0.8 * before
+
+
 def test_jaccard_empty_table(spark):
     from repolens.llm.jaccard_join import jaccard_groups
 
