@@ -487,3 +487,16 @@ def test_pipeline(spark, corpus, tmp_path):
     assert not {152, 153, 154} & {r.doc_id for r in kept.collect()}
     pieces = c.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == {k for k in ids if k not in (152, 153, 154)}
+
+
+def test_pipeline_stages_give_back_heap(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    for name, stage in c.STAGES:
+        if name in ("passages", "packing"):  # the others run jobs first
+            before = full()
+            stage(spark, docs, "")
+            assert full() > before
