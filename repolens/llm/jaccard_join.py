@@ -149,15 +149,19 @@ def signatures(sets: list[np.ndarray], fps: np.ndarray, n: int) -> list[tuple[in
     return [(b, b"".join(x), b"".join(y)) for b, (x, y) in found.items()]
 
 
+def _moved(rows: np.ndarray, n: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``rows``, of which each group has ``n``, with the groups in another order."""
+    start, n = (np.cumsum(n) - n)[order], n[order]
+    return rows[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(rows))]
+
+
 def packed(heads: bytes, low: bytes) -> tuple[bytes, bytes]:
-    """A bucket's heads and signatures for the shuffle: a fingerprint stands once for its two bands, as with
-    many buckets the heads weigh as much as the signatures."""
+    """A bucket's heads and signatures for the shuffle, as with many buckets the heads weigh as much as the
+    signatures: a fingerprint stands once for its two bands, and the fields stand apart in the order
+    of band and room, so that all but the fingerprints compress."""
     head, sig = np.frombuffer(heads, dtype=_HEAD), np.frombuffer(low, dtype="<u2").reshape(-1, 3)
-    n = head["n"].astype(np.int64)
-    start = np.cumsum(n) - n
     order = np.lexsort((-head["band"].astype(np.int64), head["fp"]))
-    head, n, start = head[order], n[order], start[order]
-    sig = sig[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(sig))]
+    head, sig = head[order], _moved(sig, head["n"].astype(np.int64), order)
     below = np.r_[False, (head["fp"][1:] == head["fp"][:-1]) & (head["band"][1:] + 1 == head["band"][:-1])]
     first, second = np.flatnonzero(~below), np.flatnonzero(below)
     both = np.zeros(len(first), dtype=_BOTH)
@@ -165,14 +169,21 @@ def packed(heads: bytes, low: bytes) -> tuple[bytes, bytes]:
     both["room"][:, 0], both["n"][:, 0] = head["room"][first], head["n"][first]
     at = np.searchsorted(first, second) - 1
     both["room"][at, 1], both["n"][at, 1] = head["room"][second], head["n"][second]
-    return both.tobytes(), sig.tobytes()
+    order = np.lexsort((both["room"][:, 0], both["band"]))
+    sig, both = _moved(sig, both["n"].sum(axis=1, dtype=np.int64), order), both[order]
+    return b"".join(both[f].T.tobytes() for f in _BOTH.names), sig.tobytes()
 
 
-def unpacked(both: np.ndarray) -> np.ndarray:
+def unpacked(blob: bytes) -> np.ndarray:
     """The heads that ``packed`` has put together, in the order of its signatures."""
-    heads = np.zeros((len(both), 2), dtype=_HEAD)
-    heads["fp"], heads["room"], heads["n"] = both["fp"][:, None], both["room"], both["n"]
-    heads["band"][:, 0], heads["band"][:, 1] = both["band"], both["band"] - 1
+    k, at = len(blob) // _BOTH.itemsize, 0
+    heads = np.zeros((k, 2), dtype=_HEAD)
+    for f in _BOTH.names:
+        kind, shape = _BOTH[f].base, (*_BOTH[f].shape, k)
+        got = np.frombuffer(blob, kind, int(np.prod(shape)), at).reshape(shape)
+        at += got.nbytes
+        heads[f] = got.T if got.ndim == 2 else got[:, None]
+    heads["band"][:, 1] -= 1
     return heads[heads["n"] > 0]
 
 
@@ -314,7 +325,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             low += rest.column("low").to_pylist()
         if not heads:
             return
-        heads, low = unpacked(np.frombuffer(b"".join(heads), dtype=_BOTH)), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3)
+        heads, low = np.concatenate([unpacked(x) for x in heads]), np.frombuffer(b"".join(low), dtype="<u2").reshape(-1, 3)
         pairs, hot = grouped(heads, low)
         del heads, low
 
