@@ -207,3 +207,25 @@ def test_extra_columns_and_null_ids(spark, name):
     rows = [(1, "one two three four five six", 5), (None, "one two three four five six", 5), (None, None, 5), (3, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long").withColumn("bucket", F.lit("x")).withColumn("row_key", F.lit(1)).withColumn("score", F.lit(1))
     assert len(run(docs).collect()) == len(rows)
+
+
+def test_pretokens_are_found_in_whole_arrays(monkeypatch):
+    from repolens.llm import encoder as module
+
+    e = module.Encoder(module.default_path())
+    draw = random.Random(7)
+    parts = ["'", "s", "t", "re", "ve", "ll", "'S", " ", "  ", "\n", "\t", "\r\n", "12", "²", "é", "ßa", "—", "€", "!!", "don't", "I'll", "x" * 30, "a" * 70, "-" * 80]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 40))) for _ in range(3_000)]
+    for t in texts:
+        data = t.encode() + b"\0"
+        at = e.starts(np.frombuffer(data, dtype=np.uint8)).tolist()
+        assert [data[s:z].decode() for s, z in zip(at, at[1:], strict=False)] == e.words.findall(t)
+    wanted = e._whole(texts)
+    assert e.encode(texts) == wanted and e.encode(texts[::-1]) == wanted[::-1]
+    held = e.held
+    assert e.encode(texts) == wanted and e.held == held  # nothing is encoded twice
+    monkeypatch.setattr(module, "CACHED", 40)
+    monkeypatch.setattr(module, "AT_ONCE", 60)
+    assert e.encode(texts) == wanted and e.held <= 40
+    rare = " ".join(f"word{k}" for k in range(200))  # more new pre-tokens than are remembered
+    assert e.encode([rare]) == e._whole([rare])
