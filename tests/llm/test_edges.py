@@ -229,3 +229,22 @@ def test_pretokens_are_found_in_whole_arrays(monkeypatch):
     assert e.encode(texts) == wanted and e.held <= 40
     rare = " ".join(f"word{k}" for k in range(200))  # more new pre-tokens than are remembered
     assert e.encode([rare]) == e._whole([rare])
+
+
+def test_near_passages_of_frequent_lines(spark, monkeypatch):
+    from repolens.llm import substring_dedup
+
+    rng = random.Random(41)
+    rows = []
+    for k in range(3):
+        lines = [prose(rng, 16) for _ in range(6)]
+        for j in range(5):  # every two neighbouring lines are frequent, before and between the two passages
+            rows += [(at + 60 * k + 10 * j + i, f"{prose(rng, 40)} {lines[j]} {lines[j + 1]} {prose(rng, 40)}") for at in (0, 500) for i in range(10)]
+        block = " ".join(lines).split()
+        near = [*block[:47], f"changed{k}", *block[48:]]
+        rows += [(300 + k, f"{prose(rng, 30)} {' '.join(block)} {prose(rng, 30)}"), (800 + k, f"{prose(rng, 30)} {' '.join(near)} {prose(rng, 30)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (substring_dedup.ROUNDS, (1, None)):
+        monkeypatch.setattr(substring_dedup, "ROUNDS", rounds)
+        found = substring_dedup.passages(docs).where("duplicate").collect()
+        assert sorted((r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in found) == [(800 + k, 30, 96, 300 + k) for k in range(3)]
