@@ -248,3 +248,45 @@ def test_near_passages_of_frequent_lines(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, "ROUNDS", rounds)
         found = substring_dedup.passages(docs).where("duplicate").collect()
         assert sorted((r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in found) == [(800 + k, 30, 96, 300 + k) for k in range(3)]
+
+
+def test_family_of_open_passages_goes_to_few_tasks(spark, monkeypatch):
+    from repolens.llm import substring_dedup
+
+    rng = random.Random(43)
+    block, rows = prose(rng, 60).split(), []
+    for k in range(60):  # every two members share 46 of 66 shingles: each has to be compared with all, none is similar
+        own = [f"member{k}a" if i == 20 else f"member{k}b" if i == 40 else w for i, w in enumerate(block)]
+        rows.append((k, " ".join([prose(rng, 30), *own, prose(rng, 30)])))
+    rows.append((60, " ".join([prose(rng, 30), *rows[7][1].split()[30:90], prose(rng, 30)])))
+    sent, table = [], substring_dedup.lookup_table
+
+    def counted(df, array=None, **more):
+        out = table(df, array, **more)
+        if array == "needs":
+            sent.append(sum(len(r.needs) for r in df.collect()))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "lookup_table", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).where("duplicate").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in found] == [(60, 30, 60, 7)]
+    assert max(sent) <= 61 * 16  # rows and columns of the grid, not one slice for every bucket
+
+
+def test_rarest_shingles_ask():
+    from repolens.llm.substring_dedup import SEEN, SHORTEST, asking
+
+    rng = np.random.default_rng(7)
+    n = SHORTEST
+    at, sig, level = np.arange(n), rng.integers(1, 1 << 63, n, dtype=np.uint64), rng.integers(0, 40, n).astype(np.uint8)
+    covered = np.arange(n) > 0
+    asks = asking(at, np.ones(n, dtype=bool), covered, sig, level)
+    assert asks.sum() == n - SEEN + 1 and level[asks].max() <= level[~asks].min()
+    assert not asking(at, np.ones(n, dtype=bool), np.ones(n, dtype=bool), sig, level).any()  # covered ones are not open
+    sig[10:] = sig[10]  # 11 different ones, of which 9 are enough
+    assert asking(at, np.ones(n, dtype=bool), covered, sig, level).sum() == 3
