@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,37 @@ def stats(df: DataFrame, key: str, group: str, vec: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.countDistinct(group).alias("n_groups"), F.min(F.size(vec)).alias("dim"), (F.min(F.size(vec)) == F.max(F.size(vec))).alias("consistent"))
 
 
-def fnv1a(word: Column) -> Column:
-    """32-bit FNV-1a hash of a word of ASCII letters and digits."""
-    return F.aggregate(F.filter(F.split(word, ""), lambda x: x != ""), F.lit(2166136261), lambda h, x: (h.bitwiseXOR(F.ascii(x)) * 16777619).bitwiseAND(0xFFFFFFFF))
+_IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8))
+
+
+def fnv1a(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """32-bit FNV-1a hashes of the stretches of bytes that begin at ``start``, the longest one first."""
+    h = np.full(len(start), 2166136261, dtype=np.uint64)
+    for k in range(int(length[0]) if len(length) else 0):
+        m = int(np.searchsorted(-length, -k))  # those that go on
+        h[:m] = (h[:m] ^ data[start[:m] + k]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+    return h
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of FNV-1a-hashed words, scaled to length 1; an offline stand-in for a model.  A text
     without words (or null) is the zero vector."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-    cells = F.transform(words, lambda w: F.pmod(fnv1a(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+
+    def embed(texts: pa.Array) -> pa.Array:
+        blobs = [x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
+        data = np.frombuffer(b"".join(x + b" " for x in blobs), dtype=np.uint8)
+        inside = np.r_[False, _IN_WORD[data]]
+        start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        order = np.argsort(start - end, kind="stable")
+        start, length = start[order], (end - start)[order]
+        row = np.searchsorted(np.cumsum([len(x) + 1 for x in blobs]), start, side="right")
+        cell = (fnv1a(data, start, length) % np.uint64(dim)).astype(np.int64)
+        out = np.bincount(row * dim + cell, minlength=len(blobs) * dim).reshape(-1, dim).astype(float)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out /= np.where(norm > 0, norm, 1)
+        return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * dim, out.ravel())
+
+    return F.arrow_udf(embed, "array<double>")(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def cosines(df: DataFrame, key: str, vec: str, query: list[float]) -> DataFrame:

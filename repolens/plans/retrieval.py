@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, bm25_idf, generic_damp, round1, tokenize
 from ..operators import maintenance, ranking, vectors
-from ._register import read, registry
+from ._register import read, registry, short_batches
 
 QUERIES, ORACLES, query = registry()
 
@@ -159,4 +159,5 @@ _FNV = "list_reduce(list_prepend(2166136261::ubigint, list_transform(string_spli
  c AS (SELECT doc_id, list_transform(range(32), lambda i: len(list_filter(h, lambda x: x = i))::double) AS c FROM h)
  SELECT doc_id, list_transform(c, lambda x: CASE WHEN list_sum(c) > 0 THEN x / sqrt(list_sum(list_transform(c, lambda y: y * y))) ELSE x END) AS embedding FROM c""")
 def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return read(spark, sf_dir, "documents").select("doc_id", vectors.hash_embedding(F.col("text"), 32).alias("embedding"))

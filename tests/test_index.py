@@ -161,3 +161,21 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {r.f for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {"a", "b", "c", "d"}
     assert repository.session_events(spark, str(src)).count() == 8
+
+
+def test_hash_embedding_counts_each_word_once(spark):
+    def fnv(word):
+        h = 2166136261
+        for x in word.encode():
+            h = (h ^ x) * 16777619 % 2**32
+        return h
+
+    words = [f"w{k % 997}x{k}" for k in range(20_000)]  # was computed anew for each pair of cells: minutes
+    texts = [" ".join(words), "Éa-B9 é!", "", "x" * 5_000]
+    got = [r.e for r in spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").coalesce(1).select("k", vectors.hash_embedding(F.col("t"), 32).alias("e")).orderBy("k").collect()]
+    for e, own in zip(got, (words, ["a", "b9"], [], ["x" * 5_000]), strict=True):
+        counts = [0.0] * 32
+        for w in own:
+            counts[fnv(w) % 32] += 1
+        norm = sum(x * x for x in counts) ** 0.5 or 1.0
+        assert e == pytest.approx([x / norm for x in counts])
