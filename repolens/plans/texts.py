@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as c
 from ..functions import text as t
-from ._register import read, registry
+from ._register import read, registry, short_batches
 
 QUERIES, ORACLES, query = registry()
 
@@ -41,7 +41,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("entropy", "SELECT doc_id, round(coalesce(entropy(ch), 0), 6) AS bits FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id UNION ALL SELECT doc_id, 0.0 FROM documents WHERE text = ''")
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits a character of every whole text."""
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(t.shannon_entropy(F.col("text")), 6).alias("bits"))
+    short_batches(spark)
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(t.text_entropy(F.col("text")), 6).alias("bits"))
 
 
 #: What is put behind each text, by the id's remainder of 8, so that every rule has work.
