@@ -179,3 +179,20 @@ def test_hash_embedding_counts_each_word_once(spark):
             counts[fnv(w) % 32] += 1
         norm = sum(x * x for x in counts) ** 0.5 or 1.0
         assert e == pytest.approx([x / norm for x in counts])
+
+
+def test_neighbourhood_of_one_large_group_keeps_few_others(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from repolens.plans import ORACLES, QUERIES
+
+    parts = [(k, f"B{k % 2}" if k < 40 else "B0", f"T{k % 3}" if k < 40 else "T0", 7) for k in range(3_000)]
+    parts += [(5, "B1", "T0", 7), (5, "B2", "T0", 7), (6, None, "T0", 7), (None, "B0", "T0", 7), (9_000, "B3", "T0", 7), (9_001, "B0", "T0", 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 5), (1, 7), (2, 7), (2, 7), (2, None)], "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["related_neighbourhood"](spark, str(tmp_path))
+    assert "dense_rank" in df._jdf.queryExecution().optimizedPlan().toString()  # others are ranked before the join: 9 million pairs without
+    got = sorted(map(tuple, df.collect()), key=str)
+    c = duckdb.connect()
+    for name in ("part", "lineitem"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(c.execute(ORACLES["related_neighbourhood"]).fetchall(), key=str)
