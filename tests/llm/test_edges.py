@@ -290,3 +290,47 @@ def test_rarest_shingles_ask():
     assert not asking(at, np.ones(n, dtype=bool), np.ones(n, dtype=bool), sig, level).any()  # covered ones are not open
     sig[10:] = sig[10]  # 11 different ones, of which 9 are enough
     assert asking(at, np.ones(n, dtype=bool), covered, sig, level).sum() == 3
+
+
+def test_a_match_is_cut_at_any_gap():
+    from repolens.llm.substring_dedup import matched
+
+    a = np.arange(1, 301, dtype=np.uint64)
+    b = a.copy()
+    for k, at in enumerate((20, 35, 50, 65, 125, 140, 155)):  # a changed word takes five shingles; between 70 and 125 nothing is changed
+        b[at : at + 5] = 1_000 + 10 * k + np.arange(5)
+    b[160:] = np.arange(5_000, 5_000 + 140)
+    found = [(s, e) for _, _, s, e in matched(a, b)]
+    assert found and min(s for s, _ in found) <= 70 and max(e for _, e in found) >= 125
+    shifted = np.r_[np.arange(9_000, 9_007, dtype=np.uint64), b]
+    assert [(s - 7, e - 7) for _, _, s, e in matched(a, shifted)] == found
+
+
+def test_dense_ranges_end_with_their_text():
+    from repolens.llm.substring_dedup import LONGEST, SEEN, open_and_dense, overlapping
+
+    at = np.r_[np.arange(SEEN + 5), 1_000 + np.arange(SEEN + 5)]  # two texts, dense up to their ends
+    none = np.zeros(len(at), dtype=bool)
+    _, _, lo, hi = open_and_dense(at, none, none)
+    assert lo.tolist() == [0, SEEN + 5] and hi.tolist() == [SEEN + 5, 2 * SEEN + 10]
+    at = np.sort(np.random.default_rng(1).choice(5_000, 3_000, replace=False))
+    lo, hi = overlapping(at, np.array([0, 1_000]), np.array([1_000, 3_000]))
+    assert (at[hi - 1] - at[lo] < 4 * LONGEST).all()
+    for i in (*range(0, 900, 7), *range(1_000, 2_900, 7)):  # what lies within LONGEST stays together
+        end = min(np.searchsorted(at, at[i] + LONGEST), 1_000 if i < 1_000 else 3_000)
+        assert ((lo <= i) & (end <= hi)).any()
+
+
+def test_places_with_like_surroundings():
+    from repolens.llm.substring_dedup import LONGEST, surroundings
+
+    family, level = np.arange(100, 150, dtype=np.uint64), np.full(50, 40, dtype=np.uint8)
+
+    def near(before, more, start=0):
+        at = start + np.r_[10, 20 + np.arange(50), 80]
+        sig, own = np.r_[before, family, np.uint64(7)].astype(np.uint64), np.r_[more, level, 8].astype(np.uint8)
+        return surroundings(at, sig, own)
+
+    one, other, moved, frequent = near(1, 12), near(2, 16), near(1, 12, 3 * LONGEST), near(3, 48)
+    assert (one[1:51] == other[1:51]).all() and (one == moved).all()  # rarer shingles beside the family's don't count
+    assert (one[1:51] != frequent[1:51]).all() and one[51] == 0 and len(np.unique(one[1:51])) == 50
